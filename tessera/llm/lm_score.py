@@ -89,14 +89,37 @@ def _log_sum(x: list[float]) -> float:
     return top + math.log(sum([math.exp(v - top) for v in x]))
 
 
-def expect(word: bytes, weight: float, logp: list[float], into: np.ndarray, model: str = MODEL) -> None:
-    """Adds ``weight`` times the expected uses of each piece in the word, by forward and backward sums."""
+def expect(word: bytes, weight: float, prob: list[float], logp: list[float], into: list[float], model: str = MODEL) -> None:
+    """Adds ``weight`` times the expected uses of each piece in the word, by forward and backward sums of
+    probabilities, or of their logarithms where a long word's would vanish."""
     lattice = arcs(word, model)
-    cost = [logp[k] if type(k) is int else sum(logp[x] for x in k) for _, _, k in lattice]
-    if len(lattice) == 1:
-        k = lattice[0][2]
-        into[list(k) if type(k) is tuple else k] += weight
+    size = lattice[-1][1] + 1
+    alpha, beta = [0.0] * size, [0.0] * size
+    alpha[0] = beta[-1] = 1.0
+    cost = []
+    for i, j, k in lattice:
+        c = prob[k] if type(k) is int else math.prod([prob[x] for x in k])
+        cost.append(c)
+        alpha[j] += alpha[i] * c
+    total = alpha[-1]
+    if total < 1e-250:
+        _expect_logs(lattice, weight, logp, into)
         return
+    for x in range(len(lattice) - 1, -1, -1):
+        i, j, k = lattice[x]
+        b = beta[j] * cost[x]
+        if b:
+            beta[i] += b
+            p = weight * alpha[i] * b / total
+            if type(k) is int:
+                into[k] += p
+            else:
+                for y in k:
+                    into[y] += p
+
+
+def _expect_logs(lattice: list, weight: float, logp: list[float], into: list[float]) -> None:
+    cost = [logp[k] if type(k) is int else sum(logp[x] for x in k) for _, _, k in lattice]
     size = lattice[-1][1] + 1
     inc: list[list[float]] = [[] for _ in range(size)]
     alpha = [0.0] * size
@@ -144,7 +167,7 @@ def _count(batches):
             for w in _words(text):
                 out[w] = get(w, 0) + one
             out[b""] = get(b"", 0) + one
-            if len(out) > 400_000:
+            if len(out) > 250_000:
                 yield full()
                 out.clear()
     if out:
@@ -164,13 +187,14 @@ def learn(words: DataFrame, model: str = MODEL, rounds: int = ROUNDS) -> np.ndar
         sent = spark.sparkContext.broadcast(logp)
 
         def run(batches, sent=sent):
-            logp, total = sent.value.tolist(), np.zeros(len(sent.value))
+            logp, prob, total = sent.value.tolist(), np.exp(sent.value).tolist(), [0.0] * len(sent.value)
             for b in batches:
                 for w, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                     if w:
-                        expect(w, c, logp, total, model)
+                        expect(w, c, prob, logp, total, model)
                     else:
                         total[-1] += c
+            total = np.array(total)
             k = np.nonzero(total)[0]
             yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(total[k])], names=["k", "x"])
 

@@ -1,9 +1,18 @@
 """The registered queries of this subpackage, and DuckDB SQL for those that SQL can express."""
 
-from tessera.llm import lm_score
+from tessera.llm import decontaminate, langid, line_dedup, lm_score, near_dup, packing, token_store
 
 QUERIES = {
     "op1_lattice_score": lm_score.op1_lattice_score,
+    "op2_token_orc": token_store.op2_token_orc,
+    "op3_tensor_minhash": near_dup.op3_tensor_minhash,
+    "op4_bin_completion": packing.op4_bin_completion,
+    "op5_deletion_lines": line_dedup.op5_deletion_lines,
+    "op8_script_viterbi": langid.op8_script_viterbi,
+    "op9_template_leaks": decontaminate.op9_template_leaks,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op5_deletion_lines": line_dedup.SQL,
+    "op9_template_leaks": decontaminate.SQL,
+}
