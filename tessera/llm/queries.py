@@ -1,6 +1,6 @@
 """The registered queries of this subpackage, and DuckDB SQL for those that SQL can express."""
 
-from tessera.llm import decontaminate, langid, line_dedup, lm_score, near_dup, packing, token_store
+from tessera.llm import decontaminate, embed_dedup, html_text, langid, line_dedup, lm_score, near_dup, packing, secrets, token_store
 
 QUERIES = {
     "op1_lattice_score": lm_score.op1_lattice_score,
@@ -8,8 +8,11 @@ QUERIES = {
     "op3_tensor_minhash": near_dup.op3_tensor_minhash,
     "op4_bin_completion": packing.op4_bin_completion,
     "op5_deletion_lines": line_dedup.op5_deletion_lines,
+    "op6_itq_hamming": embed_dedup.op6_itq_hamming,
+    "op7_blob_ledger": secrets.op7_blob_ledger,
     "op8_script_viterbi": langid.op8_script_viterbi,
     "op9_template_leaks": decontaminate.op9_template_leaks,
+    "op10_template_text": html_text.op10_template_text,
 }
 
 SQL: dict[str, str] = {
