@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import Workspace, read, ship
 
-LEAST = 4
-SHARE = 50
+LEAST = 5
+SHARE = 80
 #: Template tokens that are broadcast at most; more are joined by a salted shuffle.
 BROADCAST_TOKENS = 1_000_000
 SALTS = 64
@@ -60,7 +60,7 @@ class Node:
         a = _attrs(attrs) if attrs.strip() else {}
         words = {w for w in re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", f"{a.get('class', '')} {a.get('id', '')}").lower()) if w}
         self.tag = tag
-        self.path = f"{up.path if up else ''}/{tag}{'.' + '.'.join(sorted(words)) if words else ''}"
+        self.path = f"{up.path}/{tag}{'.' + '.'.join(sorted(words)) if words else ''}" if up else ""
         inside = up.article if up else False
         outer = tag in ("html", "body", "article", "main")
         role = a.get("role", "").lower()
@@ -184,16 +184,22 @@ def _nest(table: pa.Table) -> pa.Table:
     classes: dict[tuple, list] = {}
     for r in table.to_pylist():
         classes.setdefault((-r["pages"], r["vector"]), []).append(r)
-    kept, tags = [], {_hash("t", "")}
-    for _, members in sorted(classes.items()):  # outer classes, of more pages, first
-        if not any(r["tag"] for r in members):
-            continue
-        own = {r["token"] for r in members if r["tag"]}
-        if all(r["up"] in tags or r["up"] in own for r in members):
-            tags |= own
-            kept += members
+    tags, open_ = {_hash("t", "")}, [m for _, m in sorted(classes.items()) if any(r["tag"] for r in m)]
+    texts: list[dict] = []
+    while True:  # a class nests once the tags above its own are known to
+        rest = []
+        for members in open_:
+            own = {r["token"] for r in members if r["tag"]}
+            if all(r["up"] in tags or r["up"] in own for r in members if r["tag"]):
+                tags |= own
+                texts += [r for r in members if not r["tag"]]
+            else:
+                rest.append(members)
+        if len(rest) == len(open_):
+            break
+        open_ = rest
     host = table.column("host")[0].as_py()
-    out = [r["token"] for r in kept if not r["tag"]]
+    out = [r["token"] for r in texts if r["up"] in tags]
     return pa.table({"host": pa.array([host] * len(out), pa.string()), "token": pa.array(out, pa.int64())})
 
 
