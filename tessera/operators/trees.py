@@ -148,13 +148,13 @@ def smallest_enclosing(pmap_a: DataFrame, pmap_b: DataFrame, up_a: DataFrame, up
     """For each node of tree A the smallest node of tree B that holds all its pixels: the deepest common ancestor.
     Counts, by pair of nodes, how many of A's pixels B's node holds; a pair holds all if the counts agree."""
     cell = pmap_a.select(*K, F.col("node_id").alias("a")).join(pmap_b.select(*K, F.col("node_id").alias("b")), K).groupBy("image_id", "a", "b").agg(F.count("*").alias("n"))
-    ups_a = up_a.select("image_id", F.col("node_id").alias("a"), F.col("anc").alias("A"))
-    ups_b = up_b.select("image_id", F.col("node_id").alias("b"), F.col("anc").alias("B"))
-    by_a = cell.join(ups_a, ["image_id", "a"]).groupBy("image_id", "A", "b").agg(F.sum("n").alias("n"))
-    whole = by_a.groupBy("image_id", "A").agg(F.sum("n").alias("all"))
-    held = by_a.join(ups_b, ["image_id", "b"]).groupBy("image_id", "A", "B").agg(F.sum("n").alias("n")).join(whole, ["image_id", "A"]).where("n = all")
-    size = pmap_b.select("image_id", F.col("node_id").alias("B"), "area").distinct()
-    return held.join(size, ["image_id", "B"]).groupBy("image_id", "A").agg(F.min_by("B", "area").alias("B")).select("image_id", F.col("A").alias("node_id"), F.col("B").alias("other_id"))
+    ups_a = up_a.select("image_id", F.col("node_id").alias("a"), F.col("anc").alias("top_a"))
+    ups_b = up_b.select("image_id", F.col("node_id").alias("b"), F.col("anc").alias("top_b"))
+    by_a = cell.join(ups_a, ["image_id", "a"]).groupBy("image_id", "top_a", "b").agg(F.sum("n").alias("n"))
+    whole = by_a.groupBy("image_id", "top_a").agg(F.sum("n").alias("all"))
+    held = by_a.join(ups_b, ["image_id", "b"]).groupBy("image_id", "top_a", "top_b").agg(F.sum("n").alias("n")).join(whole, ["image_id", "top_a"]).where("n = all")
+    size = pmap_b.select("image_id", F.col("node_id").alias("top_b"), "area").distinct()
+    return held.join(size, ["image_id", "top_b"]).groupBy("image_id", "top_a").agg(F.min_by("top_b", "area").alias("top_b")).select("image_id", F.col("top_a").alias("node_id"), F.col("top_b").alias("other_id"))
 
 
 def on_contour(pmap: DataFrame, up: DataFrame, edge_value: DataFrame) -> DataFrame:

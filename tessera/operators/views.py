@@ -99,8 +99,8 @@ def pad(px: DataFrame, k: int, mode: str = "value", value=0) -> DataFrame:
 
 def stretch(px: DataFrame, low: float, high: float, integer: bool = True) -> DataFrame:
     """Affine map of each image's range to [low, high], truncated for integers; constant images go to ``low``."""
-    r = px.groupBy("image_id").agg(F.min("v").alias("_m"), F.max("v").alias("_M"))
-    y = F.when(F.col("_M") > F.col("_m"), F.lit(float(low)) + (F.col("v") - F.col("_m")) * (float(high - low) / (F.col("_M") - F.col("_m")))).otherwise(F.lit(float(low)))
+    r = px.groupBy("image_id").agg(F.min("v").alias("_lo"), F.max("v").alias("_hi"))
+    y = F.when(F.col("_hi") > F.col("_lo"), F.lit(float(low)) + (F.col("v") - F.col("_lo")) * (F.lit(float(high - low)) / (F.col("_hi") - F.col("_lo")))).otherwise(F.lit(float(low)))
     return px.join(r, "image_id").select(*K, (y.cast("int") if integer else y).alias("v"))
 
 

@@ -35,7 +35,7 @@ def _(s, d):
 
 
 @query("imprint", "image_id y line:s", f"""WITH p AS ({P16}), w AS (SELECT image_id, max(length(v::VARCHAR)) AS w FROM p GROUP BY 1)
-SELECT image_id, y, string_agg(lpad(v::VARCHAR, w, ' '), ' ' ORDER BY x) AS line FROM p JOIN w USING (image_id) GROUP BY ALL""")
+SELECT image_id, y, string_agg(lpad(v::VARCHAR, w::INT, ' '), ' ' ORDER BY x) AS line FROM p JOIN w USING (image_id) GROUP BY ALL""")
 def _(s, d):
     return rasters.imprint(px16(s, d))
 

@@ -30,8 +30,8 @@ def query(name: str, columns: str, sql: str | None = None):
 
         QUERIES[name] = run
         if sql:
-            cast = lambda c, k: f"round({c}::DOUBLE, 4) + 0.0" if k == "d" else f"{c}::{_DUCK[k]}"
-            SQL[name] = f"SELECT {', '.join(f'{cast(c, k)} AS {c}' for c, k in _kinds(columns))} FROM ({sql}) AS q"
+            cast = lambda c, k: f'round("{c}"::DOUBLE, 4) + 0.0' if k == "d" else f'"{c}"::{_DUCK[k]}'
+            SQL[name] = f"SELECT {', '.join(f'{cast(c, k)} AS "{c}"' for c, k in _kinds(columns))} FROM ({sql}) AS q"
         return f
 
     return add
