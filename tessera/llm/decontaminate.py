@@ -29,32 +29,36 @@ NUMBER = "(^|[\\x20\\x09-\\x0D(\\[$])[-+]?[0-9][0-9.,/]*[0-9]|(^|[\\x20\\x09-\\x
 UNIT = f"(<num>[.,;]? )(?:{UNITS})([.,;:!?)]*)(\\x20|\\x09|\\n|\\r|$)"
 
 
-def template(text: Column) -> Column:
-    """The text with placeholders, a word for a word, lower-cased."""
-    out = text
-    for _ in range(2):
-        out = F.regexp_replace(out, NAME, "$1<name>")
-    out = F.regexp_replace(out, NUMBER, "$1$2<num>")
-    return F.regexp_replace(F.lower(out), UNIT, "$1<unit>$2$3")
+def with_template(df: DataFrame) -> DataFrame:
+    """``df`` with tpl, the text with placeholders, a word for a word, lower-cased. Each step runs only on texts that
+    have what it looks for; each is a projection of its own, as the optimiser then works it out once."""
+    df = df.withColumn("tpl", F.regexp_replace("text", NAME, "$1<name>"))
+    df = df.withColumn("tpl", F.when(F.col("tpl").contains("<name> "), F.regexp_replace("tpl", NAME, "$1<name>")).otherwise(F.col("tpl")))
+    df = df.withColumn("tpl", F.when(F.col("tpl").rlike("[0-9]"), F.regexp_replace("tpl", NUMBER, "$1$2<num>")).otherwise(F.col("tpl")))
+    df = df.withColumn("tpl", F.lower("tpl"))
+    return df.withColumn("tpl", F.when(F.col("tpl").contains("<num>"), F.regexp_replace("tpl", UNIT, "$1<unit>$2$3")).otherwise(F.col("tpl")))
 
 
 def _words(text: Column) -> Column:
-    return F.filter(F.split(text, "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    plain = F.when(text.rlike("[\\t\\x0b\\x0c\\r]"), F.translate(text, "\t\x0b\x0c\r", "    ")).otherwise(text)
+    return F.array_remove(F.split(F.replace(plain, F.lit("\n"), F.lit(" ")), " "), "")
 
 
 def _windows(df: DataFrame, keys: list[str], width: int) -> DataFrame:
     """Rows (keys, at, h, raw): each window of template words by its hash; raw holds the words behind it if it has slots."""
-    df = df.select(*keys, _words(F.lower("text")).alias("w"), _words(template(F.col("text"))).alias("t")).where(F.size("t") > 0)
+    df = with_template(df.select(*keys, "text"))
+    slotted = lambda x: x.contains("<num>") | x.contains("<name>") | x.contains("<unit>")
+    df = df.select(*keys, F.when(slotted(F.col("tpl")), _words(F.lower("text"))).alias("w"), _words(F.col("tpl")).alias("t"))
     n = F.size("t")
     size = F.least(n, F.lit(width))
-    slots = lambda x: x.rlike("<(num|name|unit)>")
 
     def window(i):
         part = [F.get("t", i + k) for k in range(width)]
-        text = F.concat_ws(" ", *part)
-        return F.struct(i.alias("at"), F.xxhash64(text).alias("h"), F.when(slots(text), F.slice("w", i + 1, width)).alias("raw"))
+        slots = F.col("w").isNotNull() & slotted(F.concat_ws(" ", F.slice("t", i + 1, width)))
+        return F.struct(i.alias("at"), F.xxhash64(*part).alias("h"), F.when(slots, F.slice("w", i + 1, width)).alias("raw"))
 
-    return df.select(*keys, F.inline(F.transform(F.sequence(F.lit(0), n - size), window)))
+    places = F.when(n > 0, F.sequence(F.lit(0), n - size))  # a condition within: a filter would work the words out twice
+    return df.select(*keys, F.inline(F.transform(places, window)))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, ws: Workspace, width: int = WIDTH) -> DataFrame:
