@@ -21,58 +21,76 @@ from tessera.llm.common import Workspace, read
 MIN_WORDS = 5
 
 
+#: Rows (a document and some line numbers each) that are broadcast at most, so that texts needn't be shuffled; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
+
+
+def _plain(text: Column) -> Column:
+    """Lower-cased, with a space for every ASCII white space but the line end."""
+    low = F.lower(text)
+    return F.when(text.rlike("[\\t\\x0b\\x0c\\r]"), F.translate(low, "\t\x0b\x0c\r", "    ")).otherwise(low)
+
+
 def _words(line: Column) -> Column:
-    return F.filter(F.split(line, "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    return F.array_remove(F.split(line, " "), "")
 
 
-def _hash2(text: Column) -> tuple[Column, Column]:
-    return F.xxhash64(text), F.xxhash64(F.lit("line"), text)
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def _lines(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, line_no, w) of the lines that are compared; line_no counts all lines from 0."""
-    lines = docs.where("text is not null and doc_id is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return lines.select("doc_id", "line_no", _words(F.lower("line")).alias("w")).where(F.size("w") >= MIN_WORDS)
-
-
-def _join(a: Column) -> Column:
-    return F.array_join(a, " ")
+    lines = F.split(_plain(F.col("text")), "\n")
+    rows = F.transform(lines, lambda line, k: F.struct(k.alias("line_no"), _words(line).alias("w")))
+    return docs.where("text is not null and doc_id is not null").select("doc_id", F.inline(rows)).where(F.size("w") >= MIN_WORDS)
 
 
 def _halves() -> Column:
     """Keys of a line's halves. A line of n words meets lines of n and of n + 1 words by the half they must share."""
     n = F.size("w")
-    head = lambda k, m: F.xxhash64(F.lit("head"), m, _join(F.slice("w", 1, k)))
-    tail = lambda k, m: F.xxhash64(F.lit("tail"), m, _join(F.slice("w", n - k + 1, k)))
+    head = lambda k, m: F.xxhash64(F.lit("head"), m, F.slice("w", 1, k))
+    tail = lambda k, m: F.xxhash64(F.lit("tail"), m, F.slice("w", n - k + 1, k))
     # between n and n words an edit leaves n div 2 first or the other last words; between n - 1 and n, (n - 1) div 2
     a = (n / 2).cast("int")
     b = ((n - 1) / 2).cast("int")
     return F.array(head(a, n), tail(a, n), head(b, -n), tail(b, -n), head(a, -n - 1), tail(a, -n - 1))
 
 
+def _variants() -> Column:
+    """Hashes of the variants of a line ``w`` with its first, second, ... word deleted, and last that of the line itself.
+
+    The hash of a row of words is the exclusive or of hashes of each word with its place, so all variants come from one
+    running value: words before the deleted one keep their places, those behind it move up by one. Side 0 of a key joins
+    lines of equal length that share a variant at the same place, sides 1 and 2 a variant and the shorter line it equals.
+    """
+    xor = lambda a, b: a.bitwiseXOR(b)
+    here, moved = F.transform("w", lambda x, j: F.xxhash64(x, j)), F.transform("w", lambda x, j: F.xxhash64(x, j - 1))
+    start = F.array(F.aggregate(moved, F.lit(0).cast("long"), xor))
+    upto = F.aggregate(F.zip_with(here, moved, xor), start, lambda acc, c: F.concat(acc, F.array(xor(F.element_at(acc, -1), c))))
+    return F.zip_with(upto, moved, lambda u, m: F.coalesce(xor(u, m), u))
+
+
 def removed_lines(docs: DataFrame, ws: Workspace) -> DataFrame:
     """Rows (doc_id, line_no) of the lines that an earlier line, by (doc_id, line_no), equals or is near to."""
     at = F.struct("doc_id", "line_no")
-    h1, h2 = _hash2(_join(F.col("w")))
-    lines = ws.put(_lines(docs).select("doc_id", "line_no", h1.alias("h1"), h2.alias("h2"), _halves().alias("halves")), "lines")
+    lines = ws.put(_lines(docs).select("doc_id", "line_no", F.xxhash64("w").alias("h1"), F.xxhash64(F.lit("line"), "w").alias("h2"), _halves().alias("halves")), "lines")
     first = ws.put(lines.groupBy("h1", "h2").agg(F.min(at).alias("first"), F.any_value("halves").alias("halves")), "classes")
     halves = first.select("h1", "h2", F.explode(F.array_distinct("halves")).alias("half"))
     met = halves.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     active = halves.join(met, "half", "left_semi").select("h1", "h2").distinct()
     active = active.join(first.select("h1", "h2", "first"), ["h1", "h2"]).select("first.doc_id", "first.line_no")
     # the words of the active classes, from their first lines
-    wanted = active.groupBy("doc_id").agg(F.collect_set("line_no").alias("nos"))
-    text = docs.join(wanted, "doc_id").select("doc_id", "nos", F.split("text", "\n").alias("lines"))
-    text = text.select("doc_id", F.explode("nos").alias("line_no"), "lines").select("doc_id", "line_no", F.get("lines", F.col("line_no")).alias("line"))
-    words = ws.put(text.where("line is not null").select(at.alias("at"), _words(F.lower("line")).alias("w")).where(F.size("w") >= MIN_WORDS).dropDuplicates(["at"]), "words")
-
-    n = F.size("w")
-    cut = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(i.alias("i"), F.xxhash64(_join(F.slice("w", 1, i - 1)), F.lit("|"), _join(F.slice("w", i + 1, n)), F.lit(0)).alias("x"), F.xxhash64(_join(F.concat(F.slice("w", 1, i - 1), F.slice("w", i + 1, n)))).alias("y")))
-    variants = words.select("at", n.alias("n"), F.explode(cut).alias("v"))
-    swaps = variants.select("at", F.xxhash64(F.lit("swap"), "n", "v.i", "v.x").alias("key"), F.lit(0).alias("side"))
-    drops = variants.select("at", F.xxhash64(F.lit("drop"), F.col("n") - 1, "v.y").alias("key"), F.lit(1).alias("side")).distinct()
-    whole = words.select("at", F.xxhash64(F.lit("drop"), n, F.xxhash64(_join(F.col("w")))).alias("key"), F.lit(2).alias("side"))
-    keys = ws.put(swaps.unionByName(drops).unionByName(whole), "keys")
+    wanted = ws.put(active.groupBy("doc_id").agg(F.collect_set("line_no").alias("nos")), "wanted")
+    text = docs.join(_small(wanted), "doc_id").select("doc_id", "nos", F.split(_plain(F.col("text")), "\n").alias("lines"))
+    text = text.select("doc_id", F.inline(F.transform("nos", lambda k: F.struct(k.alias("line_no"), _words(F.get("lines", k)).alias("w")))))
+    words = ws.put(text.where(F.size("w") >= MIN_WORDS).select(at.alias("at"), "w").dropDuplicates(["at"]), "words")
+    n = F.col("n")
+    cut = words.select("at", F.size("w").alias("n"), F.posexplode(_variants()).alias("i", "v"))
+    swap = F.struct(F.xxhash64(F.lit("swap"), n, "i", "v").alias("key"), F.lit(0).alias("side"))
+    drop = F.struct(F.xxhash64(F.lit("drop"), n - 1, "v").alias("key"), F.lit(1).alias("side"))
+    whole = F.struct(F.xxhash64(F.lit("drop"), n, "v").alias("key"), F.lit(2).alias("side"))
+    keys = ws.put(cut.select("at", F.inline(F.when(F.col("i") < n, F.array(swap, drop)).otherwise(F.array(whole)))), "keys")
     least = lambda *sides: F.min(F.when(F.col("side").isin(*sides), F.col("at")))
     meet = keys.groupBy("key").agg(least(0, 2).alias("even"), least(1).alias("long"), F.count("*").alias("m")).where("m > 1")
     # a replaced word: the smallest of the group; a whole line: the smallest longer line; a longer line: the whole one
@@ -83,7 +101,7 @@ def removed_lines(docs: DataFrame, ws: Workspace) -> DataFrame:
     gone = first.join(near.withColumnRenamed("at", "first").withColumn("near", F.lit(True)), "first", "left").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
     out = lines.select("doc_id", "line_no", "h1", "h2").join(gone, ["h1", "h2"]).where(F.col("near") | (F.struct("doc_id", "line_no") != F.col("first")))
     out = ws.put(out.select("doc_id", "line_no").distinct(), "gone")
-    ws.free("lines", "classes", "words", "keys")
+    ws.free("lines", "classes", "wanted", "words", "keys")
     return out
 
 
@@ -107,8 +125,8 @@ def dedup_lines(docs: DataFrame, ws: Workspace) -> DataFrame:
     loses by number; an empty table gives no rows; all other columns stay (any named n_lines or n_removed are replaced).
     """
     gone = removed_lines(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ws)
-    gone = gone.groupBy(F.col("doc_id").alias("_gone_id")).agg(F.collect_set("line_no").alias("_gone"))
-    df = docs.drop("n_lines", "n_removed").join(gone, F.col("doc_id") == F.col("_gone_id"), "left")
+    gone = ws.put(gone.groupBy(F.col("doc_id").alias("_gone_id")).agg(F.collect_set("line_no").alias("_gone")), "by-doc")
+    df = docs.drop("n_lines", "n_removed").join(_small(gone), F.col("doc_id") == F.col("_gone_id"), "left")
     lines = F.split("text", "\n")
     kept = F.filter(lines, lambda _, k: F.coalesce(~F.array_contains("_gone", k), F.lit(True)))
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
