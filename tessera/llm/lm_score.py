@@ -34,52 +34,74 @@ _state: dict = {}
 
 
 def pieces(model: str = MODEL) -> tuple[dict[str, int], int]:
-    """Ids of the vocabulary's pieces that lie within a word (its start mark included); 256 byte ids and the end follow."""
+    """Ids of the vocabulary's pieces that lie within a word (its start mark included), -1 for other beginnings of
+    pieces; and the number of pieces. The ids of 256 bytes and of the end follow."""
     if model not in _state:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model)
         texts = [sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))]
-        ids = {t: k for k, t in enumerate(t for t in texts if START not in t[1:])}
-        heads = {t[:k] for t in ids for k in range(1, len(t) + 1)}
-        _state[model] = ids, len(ids), heads
+        texts = [t for t in texts if START not in t[1:]]
+        table = dict.fromkeys((t[:k] for t in texts for k in range(1, len(t) + 1)), -1)
+        _state[model] = table | {t: k for k, t in enumerate(texts)}, len(texts)
     return _state[model]
 
 
 def first_scores(model: str = MODEL) -> np.ndarray:
     """Natural log probabilities from the vocabulary's order: an id's weight falls as its rank rises."""
-    _, n, _ = pieces(model)
+    _, n = pieces(model)
     w = np.concatenate([1.0 / (np.arange(n) + 100.0), np.full(256, 1e-7), [1e-3]])
     return np.log(w / w.sum())
 
 
 def arcs(word: bytes, model: str = MODEL) -> list[tuple[int, int, int | tuple]]:
     """(from, to, piece id, or ids of a character's bytes) of the lattice, ordered by from. Invalid bytes stand for themselves."""
-    ids, n, heads = pieces(model)
+    table, n = pieces(model)
+    get = table.get
     text = START + word.decode("utf-8", "surrogateescape")
+    size = len(text)
     out = []
-    for i in range(len(text)):
+    for i in range(size):
+        if get(text[i], -1) < 0:
+            out.append((i, i + 1, tuple([n + b for b in text[i].encode("utf-8", "surrogateescape")])))
         j = i + 1
-        while j <= len(text) and text[i:j] in heads:
-            if (k := ids.get(text[i:j])) is not None:
+        while j <= size:
+            k = get(text[i:j])
+            if k is None:
+                break
+            if k >= 0:
                 out.append((i, j, k))
             j += 1
-        if text[i] not in ids:
-            out.append((i, i + 1, tuple(n + b for b in text[i].encode("utf-8", "surrogateescape"))))
     return out
 
 
 def forward(word: bytes, logp: list[float], model: str = MODEL) -> float:
     """Natural log of the word's probability over all segmentations."""
-    lattice = arcs(word, model)
-    size = lattice[-1][1] + 1
-    into: list[list[float]] = [[] for _ in range(size)]
-    at, alpha = -1, 0.0
-    for i, j, k in lattice:
-        if i != at:
-            at, alpha = i, _log_sum(into[i]) if i else 0.0
-        into[j].append(alpha + (logp[k] if type(k) is int else sum(logp[x] for x in k)))
-    return _log_sum(into[size - 1])
+    table, n = pieces(model)
+    get, exp, log = table.get, math.exp, math.log
+    text = START + word.decode("utf-8", "surrogateescape")
+    size = len(text)
+    into: list[list[float]] = [[] for _ in range(size + 1)]
+    into[0] = [0.0]
+    for i in range(size + 1):
+        x = into[i]
+        alpha = x[0]
+        if len(x) > 1:
+            alpha = max(x)
+            alpha += log(sum([exp(v - alpha) for v in x]))
+        if i == size:
+            return alpha
+        if get(text[i], -1) < 0:
+            into[i + 1].append(alpha + sum([logp[n + b] for b in text[i].encode("utf-8", "surrogateescape")]))
+        j = i + 1
+        while j <= size:
+            k = get(text[i:j])
+            if k is None:
+                break
+            if k >= 0:
+                into[j].append(alpha + logp[k])
+            j += 1
+    raise AssertionError("every word has a path")
 
 
 def _log_sum(x: list[float]) -> float:
