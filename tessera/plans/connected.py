@@ -8,6 +8,7 @@ from tessera.operators import connected as con
 from tessera.operators.kernels import C4, C8
 from tessera.plans.fixtures import MAX_TREE, P16, cc, mask16, px16, px64
 from tessera.plans.registry import query
+from tessera.sources.rasters import from_embeddings
 
 S = "image_id y x v"
 _ON = "SELECT image_id, 0 AS lev, y, x FROM px WHERE v >= 4"
@@ -136,7 +137,7 @@ def _(s, d):
 
 @query("shape_lattice", "image_id below above")
 def _(s, d):
-    return con.inclusion(con.shapes(px16(s, d).withColumn("v", F.floor(F.col("v") / 2).cast("int")).where("y < 8 and x < 8")))
+    return con.inclusion(con.shapes(from_embeddings(s, d, 8, 4)))
 
 
 @query("marker_overlay", S, f"SELECT image_id, y, x, CASE WHEN v >= 6 THEN 255 ELSE v END AS v FROM ({P16})")

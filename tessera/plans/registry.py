@@ -37,5 +37,5 @@ def query(name: str, columns: str, sql: str | None = None):
     return add
 
 
-for module in ("pointwise", "aggregates", "windows", "connected", "trees", "distances"):
+for module in ("pointwise", "aggregates", "windows", "connected", "trees", "distances", "shapes"):
     import_module(f"tessera.plans.{module}")
