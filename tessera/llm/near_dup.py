@@ -27,6 +27,8 @@ ROWS_OF = 8
 DEPTH = 2
 BLOCK = 256
 KEPT = 400_000
+#: Candidates (four numbers each) that are broadcast at most, so that texts needn't be shuffled; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 #: Shingles that a comparison holds as a dense matrix at a time.
 COLUMNS = 4096
 
@@ -178,9 +180,11 @@ def cluster(docs: DataFrame, ws: Workspace, width: int, num: int, den: int) -> D
     size = groups.groupBy("root").count()
     dealt = groups.join(size, "root").select(F.col("root").alias("g"), "node", F.ceil(F.col("count") / BLOCK).alias("blocks"))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    first = docs.join(dealt.withColumnRenamed("node", "doc_id"), "doc_id").select("g", "block", "blocks", F.col("doc_id").alias("node"), "text")
+    side = dealt.withColumnRenamed("node", "doc_id")
+    if dealt.count() <= BROADCAST_ROWS:
+        side = F.broadcast(side)
+    first = docs.join(side, "doc_id").select("g", "block", "blocks", F.col("doc_id").alias("node"), "text")
     sets = ws.put(first.mapInArrow(_sets(width), "g long, block long, blocks long, node long, words binary"), "sets")
-    # a doc_id that occurs in several rows stands for the row of its class only if that is the smallest: others come along and only add links of their own texts
     home = F.when((F.col("block") == 0) & (F.col("blocks") > 1), F.sequence(F.lit(1).cast("long"), F.col("blocks") - 1)).otherwise(F.array("block"))
     linear = sets.withColumn("j", F.explode(home)).withColumn("i", F.lit(0).cast("long"))
     edges = ws.put(linear.groupBy("g", "i", "j").applyInArrow(_verify(num, den), "a long, b long"), "edges-1")
