@@ -212,3 +212,19 @@ def op3_tensor_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster(read(spark, sf_dir, "documents"), Workspace(spark, "op3"), 3, 85, 100)
 
 
+
+
+#: All pairs that share a shingle, counted, and the components of their links.
+SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS a FROM documents
+), s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, array_to_string(a[i:(i + 2)], ' ') AS s FROM (SELECT doc_id, a, unnest(range(1, greatest(1, len(a) - 2) + 1)) AS i FROM w WHERE len(a) > 0)
+), n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+link AS MATERIALIZED (
+  SELECT a, b FROM (SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS m FROM s p JOIN s q ON p.s = q.s AND p.doc_id <> q.doc_id GROUP BY ALL) JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * m >= 85 * (x.n + y.n - m)
+), c(id, r) USING KEY (id) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT l.b, min(f.r) FROM c f JOIN link l ON l.a = f.id JOIN recurring.c o ON o.id = l.b WHERE f.r < o.r GROUP BY l.b
+)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, r AS component_id, doc_id = r AS kept FROM documents LEFT JOIN n USING (doc_id) JOIN c ON c.id = doc_id
+"""

@@ -16,6 +16,9 @@ QUERIES = {
 }
 
 SQL: dict[str, str] = {
+    "op3_tensor_minhash": near_dup.SQL,
     "op5_deletion_lines": line_dedup.SQL,
+    "op6_itq_hamming": embed_dedup.SQL,
+    "op7_blob_ledger": secrets.SQL,
     "op9_template_leaks": decontaminate.SQL,
 }

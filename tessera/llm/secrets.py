@@ -98,3 +98,22 @@ def op7_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = lambda kind: F.size(F.filter("findings", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     spans = F.array_join(F.transform("findings", lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     return out.select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(spans, 256).alias("base_sha256"), spans.alias("spans"))
+
+
+def _sql() -> str:
+    """Places of matches from the lengths of what stands between them, rule by rule."""
+    parts = []
+    for k, (_, pattern, tail, least) in enumerate(RULES):
+        p = pattern.replace("'", "''")
+        long = f"length(regexp_extract(x, '{p}', 2))" if tail else "length(x)"
+        parts.append(f"""SELECT doc_id, {k} AS k, st, st + length(x) AS en FROM (
+  SELECT doc_id, m[i] AS x, list_sum(list_transform(g[1:i], lambda s: length(s))) + coalesce(list_sum(list_transform(m[1:(i - 1)], lambda s: length(s))), 0) AS st
+  FROM (SELECT doc_id, m, g, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(t, '{p}') AS m, string_split_regex(t, '{p}') AS g FROM d))) WHERE {long} >= {least}""")
+    names = ", ".join(f"'{k}'" for k, *_ in RULES)
+    counts = ", ".join(f"coalesce(count(k) FILTER (k = {n}), 0)::BIGINT AS n_{k}" for n, (k, *_) in enumerate(RULES))
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS ({' UNION ALL '.join(parts)}),
+o AS (SELECT d.doc_id, {counts}, coalesce(string_agg([{names}][k + 1] || ':' || st::BIGINT || ':' || en::BIGINT, ',' ORDER BY st, k), '') AS spans FROM d LEFT JOIN f USING (doc_id) GROUP BY d.doc_id)
+SELECT *, sha256(spans) AS base_sha256 FROM o"""
+
+
+SQL = _sql()
