@@ -87,6 +87,11 @@ def dahu(px: DataFrame, sides: str | None = "tblr") -> DataFrame:
     return _map(px, f, sides)
 
 
+def interval_dahu(px: DataFrame, sides: str | None = "tblr") -> DataFrame:
+    """Dahu distance by flooding intervals of the doubled grid, without a tree."""
+    return _map(px, lambda g, s: k.interval_dahu(g["v"], s), sides)
+
+
 def dahu_pairs(nodes: DataFrame, up: DataFrame, pairs: DataFrame) -> DataFrame:
     """Dahu distance of pairs of nodes (image_id, a, b): the range of levels along the tree path through their least
     common ancestor. Joins on the closure only."""

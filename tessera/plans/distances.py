@@ -110,3 +110,8 @@ def _(s, d):
     from tessera.operators import khalimsky
 
     return dis.dahu(khalimsky.add_border(px16(s, d)))
+
+
+@query("interval_dahu", D)
+def _(s, d):
+    return dis.interval_dahu(px64(s, d))
