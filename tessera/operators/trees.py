@@ -20,14 +20,14 @@ NODES = "image_id long, node_id long, parent_id long, level int, area long, dept
 
 def _build(g: Grid, kind: str, nb) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     if kind == "tos":
-        parent, level = k.tree_of_shapes(g["v"])
+        parent, level = k.tree_of_shapes(g["v"], g.mask)
     else:
         parent, level = k.max_tree(g["v"], g.mask, nb, 1 if kind == "max" else -1), g["v"].ravel()
     return *k.tree_tables(parent, level), level
 
 
 def node_map(px: DataFrame, kind: str = "max", nb: str = "c4") -> DataFrame:
-    """pmap with each node's level, parent, area and depth beside it, from one run of the kernel: kind ``max``, ``min`` or ``tos`` (tree of shapes; full rectangles)."""
+    """pmap with each node's level, parent, area and depth beside it, from one run of the kernel: kind ``max``, ``min`` or ``tos`` (tree of shapes; on a sub-domain, one tree for each connected part)."""
 
     def run(g: Grid):
         node, ids, ups, level = _build(g, kind, k.NEIGHBOURS[nb])
@@ -102,6 +102,15 @@ def _with_alive(nodes: DataFrame, alive: DataFrame, up: DataFrame) -> DataFrame:
     return filter_direct(nodes.join(alive, ["image_id", "node_id"]), F.col("alive"), up)
 
 
+def area_filter_mean(pmap: DataFrame, nodes: DataFrame, px: DataFrame, area: int, up: DataFrame) -> DataFrame:
+    """Pixels of nodes of at least ``area`` keep their values; others take the truncated mean of the own pixels of the
+    nearest such ancestor (the root else)."""
+    mean = proper(pmap, px, {"s": F.sum("v"), "n": F.count("v")}).select("image_id", F.col("node_id").alias("anc"), F.floor(F.col("s") / F.col("n")).cast("int").alias("m"))
+    kept = nodes.where((F.col("area") >= area) | F.col("parent_id").isNull()).select("image_id", F.col("node_id").alias("anc"))
+    near = up.join(kept, ["image_id", "anc"]).join(mean, ["image_id", "anc"]).groupBy("image_id", "node_id").agg(F.min_by("m", "dist").alias("m"), F.min("dist").alias("far"))
+    return pmap.select(*K, "node_id").join(px.select(*K, "v"), K).join(near, ["image_id", "node_id"]).select(*K, F.when(F.col("far") == 0, F.col("v")).otherwise(F.col("m")).alias("v"))
+
+
 def cut(nodes: DataFrame, criterion: Column, up: DataFrame) -> DataFrame:
     """A node takes its parent's value while its parent fulfils the criterion."""
     c = nodes.select("image_id", F.col("node_id").alias("_p"), criterion.alias("_c"))
@@ -170,11 +179,21 @@ def on_contour(pmap: DataFrame, up: DataFrame, edge_value: DataFrame) -> DataFra
     return both.groupBy("image_id", F.col("anc").alias("node_id")).agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
 
 
-def mser(nodes: DataFrame, up: DataFrame, eps: int, kind: str = "diff") -> DataFrame:
+def heights(nodes: DataFrame, up: DataFrame) -> DataFrame:
+    """Summed level differences from each node up to the root: (image_id, node_id, height)."""
+    lev = nodes.select("image_id", F.col("node_id").alias("parent_id"), F.col("level").alias("_l"))
+    jump = nodes.join(lev, ["image_id", "parent_id"], "left").select("image_id", F.col("node_id").alias("anc"), F.coalesce(F.abs(F.col("level") - F.col("_l")), F.lit(0)).alias("jump"))
+    return up.join(jump, ["image_id", "anc"]).groupBy("image_id", "node_id").agg(F.sum("jump").alias("height"))
+
+
+def mser(nodes: DataFrame, up: DataFrame, eps: int, kind: str = "diff", relative: bool = False) -> DataFrame:
     """Stability of nodes under a change of ``eps`` levels: A+ is the area of the first ancestor-or-self that far (the
-    root else), A- the largest area of nodes that reach this one so; difference, ratio or norm."""
-    n = nodes.select("image_id", "node_id", F.col("level").alias("own"), F.col("area").alias("a"))
-    t = nodes.select("image_id", F.col("node_id").alias("anc"), F.col("level").alias("there"), F.col("area").alias("big"), F.col("parent_id").isNull().alias("top"))
+    root else), A- the largest area of nodes that reach this one so; difference, ratio or norm. ``relative``: far by the
+    level differences summed up along the way, not by that of the ends."""
+    at = "height" if relative else "level"
+    nodes = nodes.join(heights(nodes, up), ["image_id", "node_id"]) if relative else nodes
+    n = nodes.select("image_id", "node_id", F.col(at).alias("own"), F.col("area").alias("a"))
+    t = nodes.select("image_id", F.col("node_id").alias("anc"), F.col(at).alias("there"), F.col("area").alias("big"), F.col("parent_id").isNull().alias("top"))
     far = up.join(n, ["image_id", "node_id"]).join(t, ["image_id", "anc"]).where((F.abs(F.col("own") - F.col("there")) >= eps) | F.col("top"))
     hit = far.groupBy("image_id", "node_id").agg(F.min_by(F.struct("anc", "big"), "dist").alias("h"), F.any_value("a").alias("a"))
     minus = hit.groupBy("image_id", F.col("h.anc").alias("node_id")).agg(F.max("a").alias("minus"))

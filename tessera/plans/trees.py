@@ -163,6 +163,25 @@ def _(s, d):
     return trees.reconstruct(pmap, trees.filter_direct(nodes, F.col("area") >= 6, up))
 
 
+@query("mser_relative", "image_id node_id mser:d")
+def _(s, d):
+    _, nodes, up = _tree(s, d, "tos")
+    return trees.mser(nodes, up, 2, "ratio", True)
+
+
+@query("area_filter_mean", S, f"""{MAX_TREE}, mm AS (SELECT image_id, node_id AS anc, sum(v) // count(*) AS m FROM pmap GROUP BY ALL),
+k AS (SELECT u.image_id, u.node_id, min_by(m, dist) AS m, min(dist) AS far FROM up u JOIN mm USING (image_id, anc) WHERE u.anc_area >= 6 OR (u.image_id, u.anc) IN (SELECT (image_id, node_id) FROM nodes WHERE parent_id IS NULL) GROUP BY u.image_id, u.node_id)
+SELECT p.image_id, p.y, p.x, CASE WHEN far = 0 THEN v ELSE m END AS v FROM pmap p JOIN k USING (image_id, node_id)""")
+def _(s, d):
+    pmap, nodes, up = _tree(s, d)
+    return trees.area_filter_mean(pmap, nodes, px16(s, d), 6, up)
+
+
+@query("tree_of_shapes_sub_domain", _NODES)
+def _(s, d):
+    return trees.nodes_of(trees.node_map(px16(s, d).where("v < 6"), "tos"))
+
+
 @query("attribute_profiles", "image_id area n", f"""{MAX_TREE}, f AS (SELECT k, p.image_id, p.y, p.x, coalesce(max(u.anc_level) FILTER (u.anc_area >= k), min(u.anc_level)) AS v FROM pmap p JOIN up u USING (image_id, node_id), (VALUES (2), (4), (8), (16)) t(k) GROUP BY k, p.image_id, p.y, p.x),
 g AS (SELECT *, lag(v) OVER (PARTITION BY image_id, y, x ORDER BY k) AS before FROM f) SELECT image_id, k AS area, sum((v - before) ** 2) AS n FROM g WHERE before IS NOT NULL GROUP BY ALL""")
 def _(s, d):
