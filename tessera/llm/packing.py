@@ -204,8 +204,10 @@ def place(pieces: DataFrame, ws: Workspace, size: int = SIZE) -> DataFrame:
     """
     spark = pieces.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    pieces = ws.put(pieces, "pieces")  # dealing by ranges reads its input twice, once for a sample
     dealt = pieces.repartitionByRange(parts, "length", "doc_id", "piece").sortWithinPartitions("length", "doc_id", "piece")
     dealt = ws.put(dealt.withColumn("_id", F.monotonically_increasing_id()), "sorted")
+    ws.free("pieces")
     dealt = dealt.withColumns({"_part": F.shiftright("_id", 33), "_row": F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))})
     part = dealt.groupBy("_part").agg(F.count("*").alias("n")).select("_part", (F.sum("n").over(Window.orderBy("_part")) - F.col("n")).alias("_base"))
     counts = {r[0]: r[1] for r in dealt.groupBy("length").count().collect()}  # at most ``size`` rows
