@@ -1,9 +1,10 @@
 """Token ids of whole texts by public tokenizers, as little-endian unsigned 32-bit integers.
 
-Both tokenizers cut a text into words by a pattern and encode each word by itself. So a worker keeps the ids of words
-it has met (a bounded memory) and asks the tokenizers library for new ones only. Texts with characters outside the
-plain set below, for which the pattern and the normaliser here are known to agree with the library's, are encoded by
-the library as a whole.
+Both tokenizers cut a text into words by a pattern and encode each word by itself, and no word reaches across a single
+space or line end between other characters. So a text is split there by plain string operations, and a worker keeps the
+ids of the chunks and words it has met (a bounded memory), asking the tokenizers library for new words only. Texts with
+characters outside the plain set below, for which the pattern and the normaliser here are known to agree with the
+library's, are encoded by the library as a whole.
 """
 
 from __future__ import annotations
@@ -18,15 +19,28 @@ import regex
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
-#: Words whose ids a worker keeps at most; then it starts afresh.
-KEPT = 400_000
+#: Chunks and words whose ids a worker keeps at most in each of two generations: what is used again moves to the newer.
+KEPT = 500_000
 
 #: The word patterns of the two tokenizer files.
 PATTERNS = {
     "byte_bpe_50k.json": r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+",
     "word_bpe_49k.json": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",
 }
-PLAIN = regex.compile(r"[\t\n\r\x20-\x7e\xa1-\xac\xae-į]*+")
+#: The plain set: printable Latin-1 without no-break space and soft hyphen, tab and line ends.
+PLAIN = bytes([9, 10, 13, *range(0x20, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)])
+
+
+def _plain(text: str) -> bool:
+    try:
+        return not text.encode("latin-1").translate(None, PLAIN)
+    except UnicodeEncodeError:
+        return False
+
+
+def _loose(t: str) -> bool:
+    """Whether some white space doesn't stand alone between other characters."""
+    return t[0] in " \n" or t[-1] in " \n" or "  " in t or "\n\n" in t or " \n" in t or "\n " in t or "\t" in t or "\r" in t
 
 
 class Encoder:
@@ -37,29 +51,86 @@ class Encoder:
         name = os.path.basename(path)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.pattern, self.lower = regex.compile(PATTERNS[name]) if name in PATTERNS else None, name == "word_bpe_49k.json"
+        self.pattern, self.spaceless = regex.compile(PATTERNS[name]) if name in PATTERNS else None, name == "word_bpe_49k.json"
+        vocabulary = self.tokenizer.get_vocab(True)
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word, or stand between words
+        self.last[[k for t, k in vocabulary.items() if (t.endswith("</w>") if self.spaceless else t == "Ċ")]] = True
         self.kept: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def slow(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """The ids of words of plain texts in one call: as lines of one text, cut where a word ends."""
+        if self.spaceless:
+            text, apart = words, []
+        else:
+            apart = [w for w in words if w.isspace()]
+            text = [w for w in words if not w.isspace()]
+        ids = np.array(self.tokenizer.encode("\n".join(text), add_special_tokens=False).ids, "<u4") if text else np.zeros(0, "<u4")
+        ends = np.nonzero(self.last[ids])[0]
+        if self.spaceless:  # a word's last id ends it
+            starts, ends = [0, *(ends[:-1] + 1).tolist()], (ends + 1).tolist()
+        else:  # the id of the line end stands between words
+            starts, ends = [0, *(ends + 1).tolist()], [*ends.tolist(), len(ids)]
+        if len(ends) != len(text) and text:
+            return [self.slow(w) for w in words]
+        raw = ids.tobytes()
+        out = dict(zip(text, [raw[4 * i : 4 * j] for i, j in zip(starts, ends)])) | {w: self.slow(w) for w in apart}
+        return [out[w] for w in words]
+
+    def _key(self, word: str) -> str:
+        """Words are kept as chunks are: without the space before them, or with a mark if there is none."""
+        return word if self.spaceless else word[1:] if len(word) > 1 and word[0] == " " else f"\0{word}"
+
+    def _fill(self, keys: set[str]) -> None:
+        """Works out what is to be kept for new keys."""
+        if len(self.kept) > KEPT:
+            self.kept, self.old = {}, self.kept
+        kept, old = self.kept, self.old
+        for k in [k for k in keys if k in old]:
+            kept[k] = old[k]
+            keys.discard(k)
+        alone, parts = {}, {}  # keys that are one word; the words of other keys
+        for k in keys:
+            if k.isalpha():
+                alone[k] = k if self.spaceless else f" {k}"
+            else:
+                words = self.pattern.findall(k if self.spaceless else k[1:] if k[0] == "\0" else k if k[0] == "\n" else f" {k}")
+                parts[k] = [self._key(w) for w in words]
+                for w, x in zip(words, parts[k]):
+                    if x not in kept:
+                        if x in old:
+                            kept[x] = old[x]
+                        else:
+                            alone[x] = w
+        if alone:
+            kept.update(zip(alone, self.encode_words(list(alone.values()))))
+        for k, words in parts.items():
+            kept[k] = kept[words[0]] if len(words) == 1 else b"".join([kept[w] for w in words])
+
     def ids(self, text: str | None) -> bytes:
         """The ids of a text; null and empty texts have none."""
         if not text:
             return b""
-        if self.pattern is None or not PLAIN.fullmatch(text):
+        if self.pattern is None or not _plain(text):
             return self.slow(text)
-        words = self.pattern.findall(text.lower() if self.lower else text)
-        kept = self.kept
+        if self.spaceless:  # white space only separates
+            chunks = text.lower().split()
+        elif _loose(text):
+            chunks = [self._key(w) for w in self.pattern.findall(text)]
+        else:  # a chunk goes with the space before it, or with the line end it begins with; the first has neither
+            chunks = text.replace("\n", " \n").split(" ")
+            chunks[0] = f"\0{chunks[0]}"
         try:
-            return b"".join(map(kept.__getitem__, words))
+            return b"".join(map(self.kept.__getitem__, chunks))
         except KeyError:
-            if len(kept) > KEPT:
-                kept.clear()
-            new = [w for w in set(words) if w not in kept]
-            for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                kept[w] = np.array(e.ids, "<u4").tobytes()
-            return b"".join(map(kept.__getitem__, words))
+            new = set(chunks)
+            if len(self.kept) <= KEPT:
+                new.difference_update(self.kept.keys() & new)
+            self._fill(new)
+            return b"".join(map(self.kept.__getitem__, chunks))
 
 
 _encoders: dict[str, Encoder] = {}
