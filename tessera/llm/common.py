@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
@@ -32,6 +34,26 @@ def ship(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (REPO, env.get("PYTHONPATH")) if x)
 
 
+_memories: dict = {}
+_owner: list = [None]
+
+
+def remembers(name: str, forget) -> None:
+    """Declares what an operator's Python workers keep between tasks, and how to drop it."""
+    _memories[name] = forget
+
+
+def take_over(name: str) -> None:
+    """Called by a worker's task: drops what other operators kept in this worker, which outlives their stages."""
+    if _owner[0] != name:
+        for other, forget in _memories.items():
+            if other != name:
+                forget()
+        _owner[0] = name
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 class Workspace:
     """Intermediate tables as Parquet in the shared folder. They cut lineage: a lost executor costs no recomputation
     beyond its own tasks. ``free`` deletes those that the result doesn't read."""

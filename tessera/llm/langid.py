@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import crc_text, read, ship
+from tessera.llm.common import crc_text, read, remembers, ship, take_over
 
 #: Labelled rows that the classifier is fitted on: at most so many of each language, chosen by a hash of doc_id.
 TRAIN_PER_LANG = 1500
@@ -28,7 +28,7 @@ SWITCH = 6.0
 #: The most that a single word can count, in natural log units, against the best language for it.
 WORD_MOST = 4.0
 ADD = 0.1
-KEPT = 400_000
+KEPT = 250_000
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}'’-]*")
 
 #: First code points of script ranges.
@@ -53,6 +53,7 @@ def grams(word: str) -> list[str]:
 
 def _train_counts(batches):
     """(lang, gram or script, count) of the training texts."""
+    take_over("langid")
     for b in batches:
         out: dict[tuple, int] = {}
         for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -203,9 +204,11 @@ class Labeller:
 
 
 _state: dict = {}
+remembers("langid", _state.clear)
 
 
 def _labeller(sent, switch: float) -> Labeller:
+    take_over("langid")
     if _state.get("sent") is not sent:
         _state.update(sent=sent, labeller=Labeller(sent.value, switch))
     return _state["labeller"]
@@ -239,6 +242,7 @@ def label(docs: DataFrame, model: dict, spans: bool = True, switch: float = SWIT
                 parts.append(who.spans(text, path) if spans else [])
             cols = [pa.array(pred, pa.string()), pa.array(share, pa.float64())] + ([pa.array(parts, kind)] if spans else [])
             yield pa.RecordBatch.from_arrays([*b.columns, *cols], names=[*b.schema.names, "lang_pred", "lang_score", "lang_spans"][: len(b.columns) + len(cols)])
+        who.fresh()  # workers outlive their tasks: what later stages run beside shouldn't hold these words
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", lang_pred string, lang_score double" + ", lang_spans array<struct<start:int,end:int,lang:string>>" * spans
     return docs.mapInArrow(run, schema)

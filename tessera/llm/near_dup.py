@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Forest, Workspace, components, read, ship, split_mix
+from tessera.llm.common import Forest, Workspace, components, read, remembers, ship, split_mix, take_over
 
 ROWS_OF = 8
 DEPTH = 2
@@ -35,6 +35,7 @@ COLUMNS = 4096
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = split_mix(np.arange(1, 2 * ROWS_OF * DEPTH + 1, dtype=np.uint64) * _GOLD) | np.uint64(1)
 _words: dict[bytes, int] = {}
+remembers("near_dup", _words.clear)
 
 
 def shingles(text: str | None, width: int) -> np.ndarray:
@@ -71,6 +72,7 @@ def signature(s: np.ndarray) -> np.ndarray:
 
 def _sign(width: int):
     def run(batches):
+        take_over("near_dup")
         for b in batches:
             size, print_, keys = [], [], []
             for t in b.column(1).to_pylist():

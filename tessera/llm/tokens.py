@@ -16,6 +16,8 @@ import public_tokenizers
 import pyarrow as pa
 import regex
 
+from tessera.llm.common import remembers, take_over
+
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -68,7 +70,7 @@ class Encoder:
         else:
             apart = [w for w in words if w.isspace()]
             text = [w for w in words if not w.isspace()]
-        ids = np.array(self.tokenizer.encode("\n".join(text), add_special_tokens=False).ids, "<u4") if text else np.zeros(0, "<u4")
+        ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(text)], add_special_tokens=False)[0].ids, "<u4") if text else np.zeros(0, "<u4")
         ends = np.nonzero(self.last[ids])[0]
         if self.spaceless:  # a word's last id ends it
             starts, ends = [0, *(ends[:-1] + 1).tolist()], (ends + 1).tolist()
@@ -134,9 +136,11 @@ class Encoder:
 
 
 _encoders: dict[str, Encoder] = {}
+remembers("tokens", _encoders.clear)
 
 
 def encoder(path: str) -> Encoder:
+    take_over("tokens")
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
