@@ -5,7 +5,9 @@ Windows of ``WIDTH`` template words of every document are joined by hash with th
 document and item, the windows found along one alignment (the same distance between their places) are put together. The
 values in the placeholders are held against the item's: each value must stand for one value throughout, or the match is
 a chance one. A document leaks an item if at least ``SHARE`` of the item's windows are found along one alignment with
-consistent slots, or as they stand (all values equal) anywhere in the document.
+consistent slots, or as they stand (all words equal but for capitals) anywhere in the document. What is a name hangs on
+capitals, so windows with placeholders are joined by their plain lower-cased words, too: those find a copy whose
+capitals differ from the item's. ``SQL`` joins by templates only and lacks such copies.
 """
 
 from __future__ import annotations
@@ -45,7 +47,8 @@ def _words(text: Column) -> Column:
 
 
 def _windows(df: DataFrame, keys: list[str], width: int) -> DataFrame:
-    """Rows (keys, at, h, raw): each window of template words by its hash; raw holds the words behind it if it has slots."""
+    """Rows (keys, at, h, raw, plain): each window of template words by its hash; raw holds the words behind it if it has
+    slots. Such a window has a second row (plain) by the hash of these words."""
     df = with_template(df.select(*keys, "text"))
     slotted = lambda x: x.contains("<num>") | x.contains("<name>") | x.contains("<unit>")
     df = df.select(*keys, F.when(slotted(F.col("tpl")), _words(F.lower("text"))).alias("w"), _words(F.col("tpl")).alias("t"))
@@ -53,25 +56,29 @@ def _windows(df: DataFrame, keys: list[str], width: int) -> DataFrame:
     size = F.least(n, F.lit(width))
 
     def window(i):
-        part = [F.get("t", i + k) for k in range(width)]
+        row = lambda words, raw, plain: F.struct(i.alias("at"), F.xxhash64(*[F.get(words, i + k) for k in range(width)]).alias("h"), raw.alias("raw"), F.lit(plain).alias("plain"))
         slots = F.col("w").isNotNull() & slotted(F.concat_ws(" ", F.slice("t", i + 1, width)))
-        return F.struct(i.alias("at"), F.xxhash64(*part).alias("h"), F.when(slots, F.slice("w", i + 1, width)).alias("raw"))
+        none = F.lit(None).cast("array<string>")
+        return F.when(slots, F.array(row("t", F.slice("w", i + 1, width), False), row("w", none, True))).otherwise(F.array(row("t", none, False)))
 
     places = F.when(n > 0, F.sequence(F.lit(0), n - size))  # a condition within: a filter would work the words out twice
-    return df.select(*keys, F.inline(F.transform(places, window)))
+    return df.select(*keys, F.inline(F.flatten(F.transform(places, window))))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, ws: Workspace, width: int = WIDTH) -> DataFrame:
     """Rows (doc_id, item_id, n_windows, n_found): the leaks of ``docs`` (doc_id, text) from ``benchmark`` (item_id, text)."""
     items = benchmark.where("text is not null and item_id is not null").groupBy("item_id").agg(F.min("text").alias("text"))
-    bench = ws.put(_windows(items, ["item_id"], width), "windows").withColumnsRenamed({"at": "k", "raw": "own"})
+    bench = ws.put(_windows(items, ["item_id"], width), "windows").withColumnsRenamed({"at": "k", "raw": "own", "plain": "own_plain"})
     count = bench.count()
-    total = bench.groupBy("item_id").agg(F.count("*").alias("n_windows"))
+    total = bench.where(~F.col("own_plain")).groupBy("item_id").agg(F.count("*").alias("n_windows"))
     side = F.broadcast(bench) if count <= BROADCAST_WINDOWS else bench
-    hits = ws.put(_windows(docs.where("text is not null and doc_id is not null"), ["doc_id"], width).join(side, "h").select("doc_id", "item_id", "k", F.col("at") - F.col("k"), "raw", "own").toDF("doc_id", "item_id", "k", "line", "raw", "own").distinct(), "hits")
+    plain = F.col("plain") | F.col("own_plain")
+    hits = _windows(docs.where("text is not null and doc_id is not null"), ["doc_id"], width).join(side, "h")
+    hits = ws.put(hits.select("doc_id", "item_id", "k", (F.col("at") - F.col("k")).alias("line"), "raw", "own", plain.alias("plain")).distinct(), "hits")
     # as it stands
-    exact = hits.where(F.col("raw").isNull() | (F.col("raw") == F.col("own"))).groupBy("doc_id", "item_id").agg(F.count_distinct("k").alias("found"))
+    exact = hits.where(F.col("plain") | F.col("raw").isNull() | (F.col("raw") == F.col("own"))).groupBy("doc_id", "item_id").agg(F.count_distinct("k").alias("found"))
     # along one alignment, with a value for each value
+    hits = hits.where(~F.col("plain"))
     lined = hits.groupBy("doc_id", "item_id", "line").agg(F.count_distinct("k").alias("found"))
     slots = hits.where("raw is not null").select("doc_id", "item_id", "line", F.explode(F.arrays_zip("own", "raw")).alias("p")).select("doc_id", "item_id", "line", "p.own", "p.raw").distinct()
     bad = slots.groupBy("doc_id", "item_id", "line", "own").count().where("count > 1").select("doc_id", "item_id", "line").distinct()

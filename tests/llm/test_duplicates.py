@@ -160,3 +160,19 @@ def test_decontaminate(spark, odd_docs, no_docs):
         assert got == {0: [1], 1: [], 2: [], 3: [], 4: [], 5: [], 6: [4], None: []} | ({4: got[4]} if got[4] in ([], [1]) else {})
     assert decontaminate.decontaminate(no_docs, bench, Workspace(spark, "t")).count() == 0
     assert decontaminate.decontaminate(odd_docs, bench.limit(0), Workspace(spark, "t")).where("leaked").count() == 0
+
+
+def test_decontaminate_capitals(spark):
+    """Copies whose capitals differ from the item's, in a table joined by broadcast and by a shuffle."""
+    item = "After Lunch, Mary and John, Peter and Susan had 5 km left to walk, said old Quentin, and nobody in town believed that it would take 3 hours."
+    other = "The seller, Anna, weighed 7 kg of apples before noon and gave the buyer, Otto, 2 coins back."
+    bench = spark.createDataFrame([(1, item), (2, other)], "item_id long, text string")
+    changed = item.upper().split()
+    changed[::4] = ["CHANGED"] * len(changed[::4])
+    rows = [(0, "xx " + item.upper() + " yy"), (1, item.lower()), (2, item.title()), (3, item.swapcase()), (4, other.upper() + " " + item.lower()), (5, " ".join(changed)), (6, item)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for limit in (decontaminate.BROADCAST_WINDOWS, 0):
+        decontaminate.BROADCAST_WINDOWS, before = limit, decontaminate.BROADCAST_WINDOWS
+        got = {r.doc_id: r.item_ids for r in decontaminate.decontaminate(docs, bench, Workspace(spark, "t")).collect()}
+        decontaminate.BROADCAST_WINDOWS = before
+        assert got == {0: [1], 1: [1], 2: [1], 3: [1], 4: [1, 2], 5: [], 6: [1]}
