@@ -30,7 +30,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes repeated lines; documents all of whose lines were repeats go, n_chars follows the text."""
-    out = line_dedup.dedup_lines(docs.select(*COLUMNS), Workspace(spark, "stage5"))
+    out = line_dedup.dedup_lines(docs.select(*COLUMNS), Workspace(spark, "stage5"), least=1)
     out = out.where((F.col("n_removed") == 0) | F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import Workspace, read
 
-#: Lines of fewer words are headings, list items and the like: they are kept, and nothing is compared with them.
+#: Lines of fewer words are headings, list items and the like: they have no near lines, only equal ones.
 MIN_WORDS = 5
 
 
@@ -39,11 +39,11 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, line_no, w) of the lines that are compared; line_no counts all lines from 0."""
+def _lines(docs: DataFrame, least: int) -> DataFrame:
+    """Rows (doc_id, line_no, w) of the lines of at least so many words; line_no counts all lines from 0."""
     lines = F.split(_plain(F.col("text")), "\n")
     rows = F.transform(lines, lambda line, k: F.struct(k.alias("line_no"), _words(line).alias("w")))
-    return docs.where("text is not null and doc_id is not null").select("doc_id", F.inline(rows)).where(F.size("w") >= MIN_WORDS)
+    return docs.where("text is not null and doc_id is not null").select("doc_id", F.inline(rows)).where(F.size("w") >= max(1, least))
 
 
 def _halves() -> Column:
@@ -71,10 +71,12 @@ def _variants() -> Column:
     return F.zip_with(upto, moved, lambda u, m: F.coalesce(xor(u, m), u))
 
 
-def removed_lines(docs: DataFrame, ws: Workspace) -> DataFrame:
-    """Rows (doc_id, line_no) of the lines that an earlier line, by (doc_id, line_no), equals or is near to."""
+def removed_lines(docs: DataFrame, ws: Workspace, least: int = MIN_WORDS) -> DataFrame:
+    """Rows (doc_id, line_no) of the lines that an earlier line, by (doc_id, line_no), equals or is near to: equal ones
+    of at least ``least`` words, near ones of at least MIN_WORDS."""
     at = F.struct("doc_id", "line_no")
-    lines = ws.put(_lines(docs).select("doc_id", "line_no", F.xxhash64("w").alias("h1"), F.xxhash64(F.lit("line"), "w").alias("h2"), _halves().alias("halves")), "lines")
+    halves = F.when(F.size("w") >= MIN_WORDS, _halves())  # null for a short line, which then meets no other class
+    lines = ws.put(_lines(docs, least).select("doc_id", "line_no", F.xxhash64("w").alias("h1"), F.xxhash64(F.lit("line"), "w").alias("h2"), halves.alias("halves")), "lines")
     first = ws.put(lines.groupBy("h1", "h2").agg(F.min(at).alias("first"), F.any_value("halves").alias("halves")), "classes")
     halves = first.select("h1", "h2", F.explode(F.array_distinct("halves")).alias("half"))
     met = halves.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").drop("n")
@@ -115,16 +117,17 @@ def within_one(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), swap).when(F.abs(F.size(a) - F.size(b)) == 1, less == short).otherwise(F.lit(False))
 
 
-def dedup_lines(docs: DataFrame, ws: Workspace) -> DataFrame:
+def dedup_lines(docs: DataFrame, ws: Workspace, least: int = MIN_WORDS) -> DataFrame:
     """``docs`` with each line removed that an earlier line of the whole table equals or is near to.
 
     Earlier: by (doc_id, number of the line). Lines are compared by their words, lower-cased and split at ASCII white
-    space; lines of fewer than MIN_WORDS words, and empty ones, stay and are compared with nothing. Adds n_lines and
+    space; those of fewer than MIN_WORDS words go only if they equal an earlier one and have at least ``least`` words
+    (op5 and the pipeline: 1); empty ones stay. Adds n_lines and
     n_removed (long; 0 lines for null text, which stays null); a text all of whose lines go becomes empty. Texts are
     whole; rows with a null doc_id stay as they are; of rows that repeat a doc_id each loses the lines that its doc_id
     loses by number; an empty table gives no rows; all other columns stay (any named n_lines or n_removed are replaced).
     """
-    gone = removed_lines(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ws)
+    gone = removed_lines(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ws, least)
     gone = ws.put(gone.groupBy(F.col("doc_id").alias("_gone_id")).agg(F.collect_set("line_no").alias("_gone")), "by-doc")
     df = docs.drop("n_lines", "n_removed").join(_small(gone), F.col("doc_id") == F.col("_gone_id"), "left")
     lines = F.split("text", "\n")
@@ -137,10 +140,10 @@ def dedup_lines(docs: DataFrame, ws: Workspace) -> DataFrame:
 
 def op5_deletion_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return dedup_lines(docs, Workspace(spark, "op5"))
+    return dedup_lines(docs, Workspace(spark, "op5"), least=1)
 
 
-#: An earlier line within one edit, found by joining halves and comparing word by word.
+#: An earlier line within one edit, found by joining halves and comparing word by word; lines of five words or more only.
 SQL = """
 WITH raw AS (
   SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL

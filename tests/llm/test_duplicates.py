@@ -120,6 +120,16 @@ def test_lines_odd(spark, odd_docs, no_docs):
     assert line_dedup.dedup_lines(no_docs, Workspace(spark, "t")).count() == 0
 
 
+def test_lines_short(spark):
+    """The pipeline's stage removes equal lines of any length, but near ones of MIN_WORDS words or more only."""
+    import corpus_pipeline
+
+    rows = [(0, "All rights reserved.\none\n\nnot a near line"), (1, "one\nall  RIGHTS reserved.\ntwo\n\nnot a far line\nkept here"), (2, "one"), (3, "a b c d e\na b c d\na b c d f\na b c d")]
+    docs = spark.createDataFrame([(d, t, "en", "a", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup_stage(spark, docs, "").collect()}
+    assert got == {0: rows[0][1], 1: "two\n\nnot a far line\nkept here", 3: "a b c d e\na b c d"}
+
+
 @pytest.mark.parametrize("block", [1024, 16])
 def test_embeddings(spark, block, monkeypatch):
     monkeypatch.setattr(embed_dedup, "BLOCK", block)
