@@ -46,6 +46,9 @@ def _loose(t: str) -> bool:
 
 
 class Encoder:
+    """``encode_special_tokens`` is set, as the tokenizers' own description has it: the strings of special tokens in a
+    text are ordinary text."""
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
@@ -83,8 +86,9 @@ class Encoder:
         return [out[w] for w in words]
 
     def _key(self, word: str) -> str:
-        """Words are kept as chunks are: without the space before them, or with a mark if there is none."""
-        return word if self.spaceless else word[1:] if len(word) > 1 and word[0] == " " else f"\0{word}"
+        """Words are kept as chunks are: without the space before them, or with a mark if there is none. A space that
+        stands in white space alone is no such space."""
+        return word if self.spaceless else word[1:] if word[0] == " " and not word.isspace() else f"\0{word}"
 
     def _fill(self, keys: set[str]) -> None:
         """Works out what is to be kept for new keys."""

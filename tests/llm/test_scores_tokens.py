@@ -86,6 +86,23 @@ def test_encoder_equals_library(spark, name):
     assert enc.ids(None) == b""
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_encoder_equals_library_on_random_texts(name):
+    """Mixed white space, punctuation, abbreviations and the whole plain set."""
+    path = public_tokenizers.path(name)
+    lib = Tokenizer.from_file(path)
+    lib.encode_special_tokens = True
+    enc, rng = tokens.Encoder(path), random.Random(8)
+    kinds = [" \n", "  \n\t\r", " \n\t'ab.", "ab Ab1'", "aé ß\n.,'", "a b c d\n  \n", tokens.PLAIN.decode("latin-1")]
+    parts = ["don't", "I'LL", "we've", "12345", "1.5e3", "the", "<|endoftext|>", "ÀÉÎ", "...", "\n\n", " \n", "  ", " ", "\t", "\r\n", "日本", "\x01", "\x00"]
+    texts = ["x \n", "a \n\nb", "a\n\nb", "\n\na", " a", "a ", "a\n", "a\n\n", "\n", " ", "a\n\n\nb"]
+    for _ in range(100_000):
+        k = rng.choice(kinds)
+        texts.append("".join(rng.choice(k) for _ in range(rng.randint(0, 14))) if rng.random() < 0.6 else "".join(rng.choice(parts) + rng.choice(["", " ", "\n"]) for _ in range(rng.randint(1, 6))))
+    want = [np.array(e.ids, "<u4").tobytes() for e in lib.encode_batch_fast(texts, add_special_tokens=False)]
+    assert [t for t, w in zip(texts, want) if enc.ids(t) != w] == []
+
+
 def test_store_round_trip(spark, odd_docs, tmp_path):
     docs = odd_docs.where("doc_id is not null").dropDuplicates(["doc_id"])
     path = f"file://{tmp_path}/store"
