@@ -12,7 +12,7 @@ from functools import reduce
 from pathlib import Path
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 REPO = str(Path(__file__).resolve().parents[2])
@@ -54,6 +54,15 @@ def take_over(name: str) -> None:
             ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def give_back() -> None:
+    """Called by a worker at the end of a task: memory that is free goes back to the machine, as workers outlive their stages."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 class Workspace:
     """Intermediate tables as Parquet in the shared folder. They cut lineage: a lost executor costs no recomputation
     beyond its own tasks. ``free`` deletes those that the result doesn't read."""
@@ -79,6 +88,36 @@ class Workspace:
             p.getFileSystem(conf).delete(p, True)
 
 
+class Sieve:
+    """Three bits for each of a set of keys (a Bloom filter), so that rows whose key isn't in the set are told from the
+    rest where they are read, without moving them. No key of the set is ever missed; of other keys about one in 500
+    passes, more where the set outgrows MOST bits, so what passes is joined exactly or does no harm. MOST bounds what is sent.
+    """
+
+    LEAST, MOST = 1 << 16, 1 << 27
+
+    def __init__(self, ws: Workspace, keys: DataFrame, name: str):
+        """``keys``: one column of longs that are hashes already, so that their own bits say where. Null keys are left out."""
+        keys = keys.toDF("key")
+        self.size = min(self.MOST, max(self.LEAST, 1 << (16 * keys.count()).bit_length()))
+        words = keys.where("key is not null").select(F.explode(F.array(*self._places(F.col("key")))).alias("h"))
+        words = words.select(F.shiftright("h", 6).alias("id"), (F.col("h") % 64).cast("int").alias("bit"))
+        words = words.groupBy("id").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("v"))
+        all_ = ws.spark.range(self.size // 64).join(words, "id", "left").select("id", F.coalesce("v", F.lit(0)).alias("v"))
+        rows = all_.groupBy(F.shiftright("id", 9).alias("o")).agg(F.array_sort(F.collect_list(F.struct("id", "v")))["v"].alias("v"))
+        self.table = ws.put(rows.agg(F.array_sort(F.collect_list(F.struct("o", "v")))["v"].alias("v")).select(F.flatten("v").alias("v")), name)
+
+    def _places(self, key: Column) -> list[Column]:
+        return [F.shiftright(key, k).bitwiseAND(F.lit(self.size - 1)) for k in (0, 19, 37)]
+
+    def may_hold(self, key: Column) -> Column:
+        """Whether the key may be in the set; false for null. Not for use within a function of array elements."""
+        out = key.isNotNull()
+        for h in self._places(key):
+            out &= F.getbit(F.get(self.table.scalar(), F.shiftright(h, 6).cast("int")), h.bitwiseAND(F.lit(63)).cast("int")) == 1
+        return out
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
