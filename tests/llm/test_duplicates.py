@@ -4,6 +4,7 @@ import collections
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.llm import decontaminate, embed_dedup, line_dedup, near_dup
@@ -104,14 +105,14 @@ def test_lines(spark):
     all_lines = [(d, k, x.lower().split()) for d, t in rows if t is not None for k, x in enumerate(t.split("\n"))]
     kept = [x for x in all_lines if len(x[2]) >= line_dedup.MIN_WORDS]
     gone = {x[:2] for i, x in enumerate(kept) if any(edit_at_most_one(x[2], y[2]) for y in kept[:i])}
-    for limit in (line_dedup.BROADCAST_ROWS, 0):
-        line_dedup.BROADCAST_ROWS, before = limit, line_dedup.BROADCAST_ROWS
-        got = {r.doc_id: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), Workspace(spark, "t")).collect()}
-        line_dedup.BROADCAST_ROWS = before
+    for least in (5, 1):
+        short = [x for x in all_lines if least <= len(x[2]) < line_dedup.MIN_WORDS]
+        cut = gone | {x[:2] for i, x in enumerate(short) if any(x[2] == y[2] for y in short[:i])}
+        got = {r.doc_id: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), Workspace(spark, "t"), least).collect()}
         for d, t in rows:
-            want = None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if (d, k) not in gone)
+            want = None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if (d, k) not in cut)
             assert got[d].text == want
-            assert got[d].n_removed == sum(g[0] == d for g in gone)
+            assert got[d].n_removed == sum(g[0] == d for g in cut)
 
 
 def test_lines_odd(spark, odd_docs, no_docs):
@@ -151,6 +152,47 @@ def test_embeddings(spark, block, monkeypatch):
         assert (got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True)
 
 
+def test_embeddings_of_odd_lengths_and_repeated_ids(spark, monkeypatch):
+    """A vector of another length changes nothing; copies count as links; entries that are dealt out still meet."""
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(60, 16))
+    rows = [(k, base[k % 20].tolist()) for k in range(60)]  # three copies each
+    rows += [(100, rng.normal(size=24).tolist()), (101, rng.normal(size=3).tolist()), (5, base[5].tolist()), (None, base[0].tolist())]
+    for split in (embed_dedup.SPLIT, 2):
+        monkeypatch.setattr(embed_dedup, "SPLIT", split)
+        got = embed_dedup.cluster(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), Workspace(spark, "t")).collect()
+        assert len(got) == len(rows)
+        by = {r.vec_id: r for r in got}
+        assert all((by[k].n_links, by[k].component_id) == (2, k % 20) for k in range(60))
+        assert by[100].n_links == by[101].n_links == by[None].n_links == 0
+
+
+def test_span_finds_all_that_is_connected():
+    rng = np.random.default_rng(9)
+    codes = np.unique(np.concatenate([c ^ (np.uint64(1) << rng.integers(0, 64, 40).astype(np.uint64)) for c in rng.integers(0, 1 << 62, 8).astype(np.uint64)]))
+    near = [(a, b) for a in codes.tolist() for b in codes.tolist() if a < b and (a ^ b).bit_count() <= 2]
+    assert brute_components(codes.tolist(), embed_dedup.span(codes, 2)) == brute_components(codes.tolist(), near)
+    keys = np.repeat(np.arange(5), 80)[: len(codes)]
+    got = [e for b in embed_dedup._meet(2)([pa.RecordBatch.from_arrays([pa.array(keys[k : k + 50]), pa.array(codes[k : k + 50].view(np.int64))], names=["key", "code"]) for k in range(0, len(codes), 50)]) for e in zip(*(np.array(c).view(np.uint64).tolist() for c in b.columns))]
+    near = [(a, b) for (a, b) in near if keys[np.searchsorted(codes, a)] == keys[np.searchsorted(codes, b)]]
+    assert brute_components(codes.tolist(), got) == brute_components(codes.tolist(), near)
+
+
+def test_embeddings_recall_on_planted_links(spark):
+    """Vectors among which groups don't merge, with near copies at all cosines from 0.95 on."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(4000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    noise = rng.normal(size=(1500, 64))
+    noise -= (noise * x[:1500]).sum(1, keepdims=True) * x[:1500]
+    noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+    cos = rng.uniform(0.951, 1, size=(1500, 1))
+    y = cos * x[:1500] + np.sqrt(1 - cos**2) * noise
+    got = {r.vec_id: r for r in embed_dedup.cluster(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(np.concatenate([x, y]))], "vec_id long, embedding array<double>"), Workspace(spark, "t")).collect()}
+    assert sum(got[4000 + k].component_id == got[k].component_id for k in range(1500)) >= 0.9 * 1500
+    assert len({r.component_id for r in got.values()}) >= 3990
+
+
 def test_embeddings_empty(spark):
     assert embed_dedup.cluster(spark.createDataFrame([], "vec_id long, embedding array<float>"), Workspace(spark, "t")).count() == 0
 
@@ -186,3 +228,21 @@ def test_decontaminate_capitals(spark):
         got = {r.doc_id: r.item_ids for r in decontaminate.decontaminate(docs, bench, Workspace(spark, "t")).collect()}
         decontaminate.BROADCAST_WINDOWS = before
         assert got == {0: [1], 1: [1], 2: [1], 3: [1], 4: [1, 2], 5: [], 6: [1]}
+
+
+def test_decontaminate_all_texts_short_items_and_other_names(spark):
+    """Every text of an item id; short items within long texts; names of other lengths, at starts of sentences, numbers in words."""
+    bench = spark.createDataFrame([
+        (7, "the first text of this item talks of rivers and of bridges"), (7, "quite another text under the same id is about old maps"), (8, "capital of france paris"), (9, "yes"),
+        (10, "Ann Marie has 5 apples and gives 2 apples to Bob. How many apples does Ann Marie have now?"),
+    ], "item_id long, text string")
+    docs = spark.createDataFrame([
+        (0, "intro quite another text under the same id is about old maps outro"), (1, "we all know the capital of France Paris is large and old"), (2, "yes"), (3, "yes we can"),
+        (4, "Once more. Tom has seven apples and gives three apples to Mary Sue. How many apples does Tom have now? Good."),
+        (5, "Tom has seven apples and gives three apples to Mary Sue. How many apples does Peter have now?"), (6, "capital of italy rome"),
+    ], "doc_id long, text string")
+    for limit in (decontaminate.BROADCAST_WINDOWS, 0):
+        decontaminate.BROADCAST_WINDOWS, before = limit, decontaminate.BROADCAST_WINDOWS
+        got = {r.doc_id: r.item_ids for r in decontaminate.decontaminate(docs, bench, Workspace(spark, "t")).collect()}
+        decontaminate.BROADCAST_WINDOWS = before
+        assert got == {0: [7], 1: [8], 2: [9], 3: [], 4: [10], 5: [], 6: []}
