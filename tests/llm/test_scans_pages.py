@@ -34,12 +34,17 @@ def test_secrets_and_ledger(spark, tmp_path, no_docs):
     assert len(got) == len(TEXTS) + 2
     for r in got:
         assert [(f.start, f.kind, f.end) for f in r.findings] == brute(r.text or "")
-    blobs = docs.select(F.col("doc_id").alias("id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("blob"), F.coalesce("text", F.lit("")).alias("text"))
-    assert secrets.update_ledger(blobs, ledger, ws) == 0  # nothing is scanned twice
-    more = blobs.unionByName(spark.createDataFrame([(99, "new", "token=cccccccccccc")], "id long, blob string, text string"))
-    assert secrets.update_ledger(more, ledger, ws) == 1
+    rows = spark.read.schema(secrets.LEDGER).parquet(ledger)
+    assert rows.count() == len(set(TEXTS) - {None})  # a row for each blob, however many rows hold it
+    blobs = docs.select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("blob"), F.coalesce("text", F.lit("")).alias("text"))
+    assert secrets.update_ledger(blobs, ledger, ws, run=2) == 0  # nothing is scanned twice
+    more = blobs.unionByName(spark.createDataFrame([("new", "token=cccccccccccc"), ("new", "token=cccccccccccc")], "blob string, text string"))
+    assert secrets.update_ledger(more, ledger, ws, run=3) == 1
+    assert [r.run for r in spark.read.schema(secrets.LEDGER).parquet(ledger).where("blob = 'new'").collect()] == [3]
     assert secrets.update_ledger(blobs, ledger, ws, "2") == len(set(TEXTS) - {None})
     assert secrets.find(no_docs, ledger, ws).count() == 0
+    changed = spark.createDataFrame([(0, TEXTS[0], "old"), (1, "secret=changed-since-then", "new")], "doc_id long, text string, scanned_in string")
+    assert {r.doc_id: r.scanned_in for r in secrets.find(changed, ledger, ws, run=4).collect()} == {0: 1, 1: 4}
 
 
 def test_language_accuracy_and_spans(spark, odd_docs, no_docs):
@@ -66,7 +71,7 @@ def test_viterbi_equals_brute_force():
     import numpy as np
 
     rng = np.random.default_rng(1)
-    model = {"langs": ["a", "b", "c"], "grams": {}, "table": np.zeros((1, 3)), "scripts": np.zeros((len(langid._KINDS), 3), bool)}
+    model = {"langs": ["a", "b", "c"], "scripts": np.zeros((len(langid._KINDS), 3), bool)}
     who = langid.Labeller(model, 1.5)
     who.scores = rng.normal(size=(50, 3)).astype(np.float32) * 2
     rows = [rng.integers(0, 50, n) for n in (7, 5, 5, 3, 1, 0)]  # longest first, as labels() gives them
@@ -93,6 +98,101 @@ def test_extraction(spark):
     assert html_text.extract_pages(spark.createDataFrame([], "page_id long, url string, html string"), Workspace(spark, "t")).count() == 0
 
 
+def brute_template(pages):
+    """Of pages' tokens, all at once: the tags that stand once in each page, and the one below which most unlinked text is."""
+    one = [{t[0]: t for t in html_text.tokens_of(p)[1]} for p in pages]
+    always = set.intersection(*(set(x) for x in one))
+    tags = {k for k in always if one[0][k][2] and all(x[k][4] == 1 for x in one)}
+    text = {k: sum(x[k][5] - x[k][6] for x in one) for k in tags}
+    return tags, {k for k in always if not one[0][k][2]}, text
+
+
+BARE = """<html><head><title>T</title></head><body><div class="top"><ul><li><a href=/a>Home %d</a><li><a href=/b>News %d</a></ul></div><div class="share-price"><h1>Title %d</h1><p>%s
+<p>Follow us<div class="social-history"><p>Old customs %d, <math><mi>x</mi></math></div><p><a href=x>All of this is a link %d</a><div class="post-comments"><p>first! %d</div></div><div class="end"><p>Written by %d</p></div></body></html>"""
+
+
+def bare(k):
+    return BARE % (k, k, k, f"word{k} " * (30 + k), k, k, k, k)
+
+
+def test_template_decides_without_article_elements(spark):
+    """No listed element or class tells the main part: the host's template does, and drops nothing in it but what repeats and comments."""
+    pages = [bare(k) for k in range(8)]
+    tags, texts, plain = brute_template(pages)
+    tokens = [html_text.tokens_of(p)[1] for p in pages]
+    rows: dict = {}
+    for k, page in enumerate(tokens):
+        for t, up, tag, article, n, chars, linked in page:
+            r = rows.setdefault(t, {"token": t, "up": up, "tag": tag, "article": article, "vector": (), "pages": 0, "most": 0, "chars": 0, "linked": 0})
+            r.update(vector=(*r["vector"], (k, n)), pages=r["pages"] + 1, most=max(r["most"], n), chars=r["chars"] + chars, linked=r["linked"] + linked)
+    got = html_text.nest([r for r in rows.values() if r["pages"] == 8])
+    main = [k for k, v in got.items() if v == "main"]
+    assert len(main) == 1 and main[0] in tags and {k for k, v in got.items() if v == "text"} == texts
+    assert main[0] == html_text._hash("t", "/html/body/div.price.share") and plain[main[0]] * 100 >= html_text.MAIN * max(plain.values())
+    table = spark.createDataFrame([(k, f"http://h.org/{k}", p) for k, p in enumerate(pages)] + [(3, "http://h.org/3", pages[3])], "page_id long, url string, html string")
+    out = html_text.extract_pages(table, Workspace(spark, "t")).collect()
+    assert len(out) == 9 and all(r.by_template for r in out)
+    for r in out:
+        k = r.page_id
+        assert r.main_text == f"Title {k}\n{(f'word{k} ' * (30 + k)).strip()}\nOld customs {k}, x\nAll of this is a link {k}"
+
+
+def test_pipeline_against_brute_force(spark):
+    """Every stage on what the one before kept: lines and near duplicates by all pairs, leaks by SQL, packing by the library."""
+    import duckdb
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline as p
+    from tessera.llm import decontaminate, packing, tokens
+
+    from .test_duplicates import brute_near, edit_at_most_one
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    keep = lambda df: spark.createDataFrame(df.collect(), df.schema)
+    first = keep(p.language_id(spark, docs, SF))
+    model = langid.fit(docs)
+    want = {r.doc_id: r.lang_pred for r in langid.label(docs, model).collect() if r.lang_pred != "und" and r.lang_score >= p.LEAST_SHARE}
+    assert {r.doc_id: r.lang for r in first.collect()} == want
+
+    lined = keep(p.line_dedup_stage(spark, first, SF))
+    texts = {r.doc_id: r.text for r in first.collect()}
+    lines = [(d, k, x.lower().split()) for d in sorted(texts) for k, x in enumerate(texts[d].split("\n")) if x.split()]
+    gone, seen, by_size = set(), set(), {}
+    for d, k, w in lines:
+        near = len(w) >= 5 and any(edit_at_most_one(w, y) for n in (-1, 0, 1) if len(w) + n >= 5 for y in by_size.get(len(w) + n, ()))
+        if tuple(w) in seen or near:
+            gone.add((d, k))
+        if tuple(w) not in seen:
+            by_size.setdefault(len(w), []).append(w)
+        seen.add(tuple(w))
+    want = {d: "\n".join(x for k, x in enumerate(t.split("\n")) if (d, k) not in gone) for d, t in texts.items()}
+    want = {d: t for d, t in want.items() if t == texts[d] or t.split()}
+    assert {r.doc_id: r.text for r in lined.collect()} == want
+
+    alone = keep(p.near_dedup(spark, lined, SF))
+    _, of = brute_near(list(want.items()), 5, 80, 100)
+    assert {r.doc_id for r in alone.collect()} == {d for d in want if of[d] == d}
+
+    clean = keep(p.decontaminate(spark, alone, SF))
+    con = duckdb.connect()
+    con.register("documents", alone.toPandas())
+    con.sql(f"CREATE VIEW benchmark AS SELECT * FROM '{SF}/benchmark.parquet'")
+    leaked = {r[0] for r in con.sql(f"SELECT doc_id FROM ({decontaminate.SQL}) WHERE leaked").fetchall()}
+    assert leaked and {r.doc_id for r in clean.collect()} == {r.doc_id for r in alone.collect()} - leaked
+
+    lib = Tokenizer.from_file(tokens.WORD_BPE)
+    lib.encode_special_tokens = True
+    packed = p.pack(spark, clean, SF).collect()
+    size = {r.doc_id: len(lib.encode(r.text, add_special_tokens=False).ids) + 1 for r in clean.collect()}
+    got: dict = {}
+    for r in packed:
+        got[r.doc_id] = got.get(r.doc_id, 0) + r.length
+    assert got == size
+    sums = np.bincount([r.sequence_id for r in packed], [r.length for r in packed])
+    assert sums.max() <= packing.SIZE and len(sums) <= -(-sum(size.values()) // packing.SIZE) + 1
+
+
 def test_pipeline_stages(spark, odd_docs, no_docs):
     import corpus_pipeline as p
 
