@@ -15,20 +15,23 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import crc_text, read, remembers, ship, take_over
+from tessera.llm.common import crc_text, give_back, read, remembers, ship, take_over
 
 #: Labelled rows that the classifier is fitted on: at most so many of each language, chosen by a hash of doc_id.
 TRAIN_PER_LANG = 1500
-#: Languages that a model holds at most.
-LANGS = 200
 SWITCH = 6.0
 #: The most that a single word can count, in natural log units, against the best language for it.
 WORD_MOST = 4.0
 ADD = 0.1
-KEPT = 250_000
+#: Bytes of words and their scores that a worker keeps at most; cells of word and language that the recursion holds, unless
+#: a single text has more; rows of a batch at a time.
+KEPT = 48 << 20
+CELLS = 2_000_000
+ROWS = 1024
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}'’-]*")
 
 #: First code points of script ranges.
@@ -46,76 +49,110 @@ def script(word: str) -> int:
     return _KINDS.index(SCRIPTS[bisect.bisect_right(_STARTS, ord(word[0])) - 1][1])
 
 
-def grams(word: str) -> list[str]:
-    w = f"\x02{word}\x03"
-    return [w[i : i + 3] for i in range(len(w) - 2)] + [w] * (len(w) <= 8)
+def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the features of words (character trigrams with marks at start and end; the whole word, if short), and the
+    number of the word that each belongs to. A trigram's key is its three code points side by side, below 2^63; a
+    word's is a hash above that."""
+    flat = np.frombuffer("".join([f"\2{w}\3" for w in words]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    size = np.array([len(w) for w in words], np.int64) + 2
+    first = np.cumsum(size) - size
+    who = np.repeat(np.arange(len(words)), size - 2)
+    at = np.arange(len(who)) + np.repeat(first - (np.cumsum(size - 2) - (size - 2)), size - 2)
+    key = (flat[at] << np.uint64(42)) | (flat[at + 1] << np.uint64(21)) | flat[at + 2]
+    short = np.nonzero(size <= 10)[0]
+    whole = np.array([xxhash.xxh64_intdigest(words[k].encode("utf-8", "surrogatepass")) for k in short.tolist()], np.uint64) | np.uint64(1 << 63)
+    return np.concatenate([key, whole]), np.concatenate([who, short])
 
 
 def _train_counts(batches):
-    """(lang, gram or script, count) of the training texts."""
+    """(lang, key, is_script, count) of the training texts."""
     take_over("langid")
     for b in batches:
-        out: dict[tuple, int] = {}
-        for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            words: dict[str, int] = {}
-            for w in WORD.findall(text.lower()):
-                words[w] = words.get(w, 0) + 1
-            for w, n in words.items():
-                for g in (*grams(w), f"\x00{script(w)}"):
-                    out[lang, g] = out.get((lang, g), 0) + n
-        keys = list(out)
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array(list(out.values()), pa.int64())], names=["lang", "gram", "n"])
+        for k in range(0, b.num_rows, ROWS):
+            c = b.slice(k, ROWS)
+            by: dict[str, dict[str, int]] = {}
+            for text, lang in zip(c.column(0).to_pylist(), c.column(1).to_pylist()):
+                words = by.setdefault(lang, {})
+                for w in WORD.findall(text.lower()):
+                    words[w] = words.get(w, 0) + 1
+            for lang, words in by.items():
+                if not words:
+                    continue
+                n = np.array(list(words.values()), np.int64)
+                keys, who = grams(list(words))
+                key, at = np.unique(keys, return_inverse=True)
+                kinds, put = np.unique([script(w) for w in words], return_inverse=True)
+                sums = np.concatenate([np.bincount(at, n[who]), np.bincount(put, n)]).astype(np.int64)
+                flag = np.arange(len(sums)) >= len(key)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * len(sums), pa.string()), pa.array(np.concatenate([key.view(np.int64), kinds.astype(np.int64)])), pa.array(flag), pa.array(sums)], names=["lang", "key", "is_script", "n"]
+                )
+    give_back()
 
 
 def fit(labelled: DataFrame, per_lang: int = TRAIN_PER_LANG) -> dict:
-    """A model from rows (doc_id, text, lang) with neither null: at most ``per_lang`` rows of each language, those with
-    the smallest hash of doc_id, whole texts. The sample bounds the model's size; no rows give a model without languages."""
+    """A model from rows (doc_id, text, lang) with neither null: about ``per_lang`` rows of each language, those with the
+    smallest hash of doc_id, whole texts; every language and every trigram of theirs is kept. The sample bounds the
+    model's size; no rows give a model without languages.
+
+    The model holds counts by key and language as they are (few keys have many languages): ``at`` and ``lang`` for the
+    sorted ``keys``, ``gain`` the log of a count against that of a count of 0, ``base`` the latter's log probability.
+    """
     rows = labelled.where("text is not null and lang is not null").select("doc_id", "text", "lang")
-    langs = sorted(r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS).collect())
-    share = {r[0]: r[1] for r in rows.groupBy("lang").count().where(F.col("lang").isin(langs)).collect()} if langs else {}
+    share = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}  # a row for each language
+    langs = sorted(share)
+    none = np.zeros(0)
+    if not langs:
+        return {"langs": [], "keys": none.astype(np.uint64), "at": np.zeros(1, np.int64), "lang": none.astype(np.int32), "gain": none.astype(np.float32), "base": none, "scripts": np.zeros((len(_KINDS), 0), bool)}
     h = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("langid")), F.lit(1 << 20))
-    picked = None
-    for lang in langs:  # a threshold on the hash keeps the wanted number without sorting texts
-        cut = min(1 << 20, -(-(per_lang << 20) // max(1, share[lang])))
-        one = (F.col("lang") == lang) & (h < cut)
-        picked = one if picked is None else picked | one
-    if picked is None:
-        return {"langs": [], "grams": {}, "table": np.zeros((1, 0)), "scripts": np.zeros((len(_KINDS), 0), bool)}
-    ship(rows.sparkSession)
-    counts = rows.where(picked).select("text", "lang").mapInArrow(_train_counts, "lang string, gram string, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
-    wide = counts.groupBy("gram").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"), F.sum("n").alias("all"))
-    got = wide.where((F.col("all") > 2) | F.col("gram").startswith("\x00")).collect()
+    spark = rows.sparkSession
+    cuts = spark.createDataFrame([(x, min(1 << 20, -(-(per_lang << 20) // n))) for x, n in share.items()], "lang string, cut long")
+    ship(spark)
+    picked = rows.join(cuts, "lang").where(h < F.col("cut")).select("text", "lang")
+    counts = picked.mapInArrow(_train_counts, "lang string, key long, is_script boolean, n long").groupBy("key", "is_script", "lang").agg(F.sum("n").alias("n")).toArrow()
+    which = {x: k for k, x in enumerate(langs)}
+    lang = np.array([which[x] for x in counts.column("lang").to_pylist()], np.int32)
+    key, flag, n = counts.column("key").to_numpy().view(np.uint64), counts.column("is_script").to_numpy(), counts.column("n").to_numpy().astype(float)
     scripts = np.zeros((len(_KINDS), len(langs)), bool)
-    at, rows_ = {}, []
-    for gram, by, _ in got:
-        c = [by.get(x, 0) for x in langs]
-        if gram[0] == "\x00":
-            scripts[int(gram[1:])] = np.array(c) > 0
-        else:
-            at[gram] = len(rows_) + 1
-            rows_.append(c)
-    c = np.array([[0] * len(langs), *rows_], float) + ADD
-    return {"langs": langs, "grams": at, "table": np.log(c / c.sum(0)), "scripts": scripts}
+    scripts[key[flag].astype(int), lang[flag]] = True
+    key, lang, n = key[~flag], lang[~flag], n[~flag]
+    order = np.lexsort((lang, key))
+    key, lang, n = key[order], lang[order], n[order]
+    keys, first = np.unique(key, return_index=True)
+    total = np.bincount(lang, n, len(langs)) + ADD * (len(keys) + 1)
+    return {"langs": langs, "keys": keys, "at": np.append(first, len(key)).astype(np.int64), "lang": lang, "gain": np.log((n + ADD) / ADD).astype(np.float32), "base": np.log(ADD / total), "scripts": scripts}
 
 
 class Labeller:
     def __init__(self, model: dict, switch: float = SWITCH):
-        self.langs, self.grams, self.table, self.scripts, self.switch = model["langs"], model["grams"], model["table"], model["scripts"], switch
+        self.model, self.langs, self.scripts, self.switch = model, model["langs"], model["scripts"], switch
         self.fresh()
 
     def fresh(self) -> None:
         self.kept: dict[str, int] = {}
         self.scores = np.zeros((0, len(self.langs)), np.float32)
         self.letters = np.zeros(0, np.int32)
+        self.bytes = 0
+
+    def raw(self, words: list[str]) -> np.ndarray:
+        """Sum of the log probabilities of each word's features by language."""
+        m = self.model
+        keys, who = grams(words)
+        at = np.minimum(np.searchsorted(m["keys"], keys), max(0, len(m["keys"]) - 1))
+        seen = m["keys"][at] == keys if len(m["keys"]) else np.zeros(len(keys), bool)
+        lo, hi = m["at"][at[seen]], m["at"][at[seen] + 1]
+        many = hi - lo
+        cell = np.repeat(lo - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+        flat = np.repeat(who[seen], many) * len(self.langs) + m["lang"][cell]
+        out = np.bincount(flat, m["gain"][cell], len(words) * len(self.langs)).reshape(len(words), len(self.langs))
+        return out + np.bincount(who, minlength=len(words))[:, None] * m["base"]
 
     def learn(self, new: list[str]) -> None:
         """Works out the scores of new words, once for each."""
-        get = self.grams.get
-        ids = [[get(g, 0) for g in grams(w.lower())] for w in new]
-        at = np.cumsum([0, *map(len, ids)])[:-1]
-        k = np.add.reduceat(self.table[np.array([i for x in ids for i in x])], at, axis=0)
+        low = [w.lower() for w in new]
+        k = self.raw(low)
         k = np.maximum(k - k.max(1, keepdims=True), -WORD_MOST)
-        ok = self.scripts[[script(w.lower()) for w in new]]
+        ok = self.scripts[[script(w) for w in low]]
         narrow = ok.any(1) & ~ok.all(1)
         k[narrow] = np.where(ok[narrow], k[narrow], -8 * WORD_MOST)
         n = len(self.kept)
@@ -126,10 +163,11 @@ class Labeller:
             self.letters = np.concatenate([self.letters[:n], np.zeros(more, np.int32)])
         self.scores[n : n + len(new)] = k
         self.letters[n : n + len(new)] = [sum(map(str.isalpha, w)) for w in new]
+        self.bytes += sum(map(len, new)) + len(new) * (180 + 4 * len(self.langs))
 
     def rows(self, texts: list[str | None]) -> list[np.ndarray]:
         """The rows of each text's words."""
-        if len(self.kept) > KEPT:
+        if self.bytes > KEPT:
             self.fresh()
         out = []
         for t in texts:
@@ -149,7 +187,7 @@ class Labeller:
         order, k = sorted(range(len(texts)), key=lambda i: -len(rows[i])), 0
         while k < len(order):
             n, cells = k, 0
-            while n < len(order) and (n == k or cells < 6_000_000):
+            while n < len(order) and (n == k or cells + len(rows[order[n]]) * max(1, len(self.langs)) <= CELLS):
                 cells += len(rows[order[n]]) * max(1, len(self.langs))
                 n += 1
             part = order[k:n]
@@ -164,7 +202,7 @@ class Labeller:
         flat = np.concatenate(rows)
         score = self.scores[flat]
         stay = np.ones((len(flat), len(self.langs)), bool)  # whether the best path into a label stays in it
-        came = np.zeros(len(flat), np.int16)  # or comes from this label
+        came = np.zeros(len(flat), np.int32)  # or comes from this label
         last = np.zeros(len(rows), np.int64)
         live, v = int((lengths > 0).sum()), None
         for t in range(int(lengths[0])):
@@ -182,7 +220,7 @@ class Labeller:
             v, live = v[:on], on
         out = []
         for n in range(len(rows)):
-            path, k, end = np.zeros(lengths[n], np.int16), int(last[n]), int(lengths[n])
+            path, k, end = np.zeros(lengths[n], np.int32), int(last[n]), int(lengths[n])
             here = stay[first[n] : first[n + 1]]
             for t in np.nonzero(~here.all(1))[0][::-1].tolist():
                 if not here[t, k]:
@@ -230,7 +268,7 @@ def label(docs: DataFrame, model: dict, spans: bool = True, switch: float = SWIT
 
     def run(batches):
         who = _labeller(sent, switch)
-        for b in batches:
+        for b in (c.slice(k, ROWS) for c in batches for k in range(0, c.num_rows, ROWS)):
             texts = b.column(b.schema.get_field_index("text")).to_pylist()
             pred, share, parts = [], [], []
             for text, (letters, path) in zip(texts, who.labels(texts)):
@@ -242,7 +280,8 @@ def label(docs: DataFrame, model: dict, spans: bool = True, switch: float = SWIT
                 parts.append(who.spans(text, path) if spans else [])
             cols = [pa.array(pred, pa.string()), pa.array(share, pa.float64())] + ([pa.array(parts, kind)] if spans else [])
             yield pa.RecordBatch.from_arrays([*b.columns, *cols], names=[*b.schema.names, "lang_pred", "lang_score", "lang_spans"][: len(b.columns) + len(cols)])
-        who.fresh()  # workers outlive their tasks: what later stages run beside shouldn't hold these words
+        who.fresh()  # what later stages run beside shouldn't hold these words
+        give_back()
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", lang_pred string, lang_score double" + ", lang_spans array<struct<start:int,end:int,lang:string>>" * spans
     return docs.mapInArrow(run, schema)
