@@ -13,22 +13,18 @@ linear in the group's size; then, of the remaining pairs of blocks, only those t
 
 from __future__ import annotations
 
-
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Forest, Workspace, components, read, remembers, ship, split_mix, take_over
+from tessera.llm.common import Forest, Sieve, Workspace, components, read, remembers, ship, split_mix, take_over
 
 ROWS_OF = 8
 DEPTH = 2
 BLOCK = 256
 KEPT = 400_000
-#: Candidates (four numbers each) that are broadcast at most, so that texts needn't be shuffled; more are joined by a shuffle.
-BROADCAST_ROWS = 500_000
 #: Shingles that a comparison holds as a dense matrix at a time.
 COLUMNS = 4096
 
@@ -148,9 +144,8 @@ def _sets(width: int):
         for b in batches:
             for k in range(0, b.num_rows, 256):
                 c = b.slice(k, 256)
-                t = c.schema.get_field_index("text")
-                s = [shingles(x, width).tobytes() for x in c.column(t).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*(c.column(n) for n in ("g", "block", "blocks", "node")), pa.array(s, pa.binary())], names=["g", "block", "blocks", "node", "words"])
+                s = [shingles(x, width).tobytes() for x in c.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([c.column(0), pa.array(s, pa.binary())], names=["node", "words"])
 
     return run
 
@@ -182,11 +177,11 @@ def cluster(docs: DataFrame, ws: Workspace, width: int, num: int, den: int) -> D
     size = groups.groupBy("root").count()
     dealt = groups.join(size, "root").select(F.col("root").alias("g"), "node", F.ceil(F.col("count") / BLOCK).alias("blocks"))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    side = dealt.withColumnRenamed("node", "doc_id")
-    if dealt.count() <= BROADCAST_ROWS:
-        side = F.broadcast(side)
-    first = docs.join(side, "doc_id").select("g", "block", "blocks", F.col("doc_id").alias("node"), "text")
-    sets = ws.put(first.mapInArrow(_sets(width), "g long, block long, blocks long, node long, words binary"), "sets")
+    # the sets of candidates are made where the texts are read, and they alone move
+    dealt = ws.put(dealt, "dealt")
+    wanted = Sieve(ws, dealt.select(F.xxhash64("node")), "wanted")
+    texts = docs.where(F.col("doc_id").isNotNull() & wanted.may_hold(F.xxhash64("doc_id")))
+    sets = ws.put(texts.mapInArrow(_sets(width), "node long, words binary").join(dealt, "node").select("g", "block", "blocks", "node", "words"), "sets")
     home = F.when((F.col("block") == 0) & (F.col("blocks") > 1), F.sequence(F.lit(1).cast("long"), F.col("blocks") - 1)).otherwise(F.array("block"))
     linear = sets.withColumn("j", F.explode(home)).withColumn("i", F.lit(0).cast("long"))
     edges = ws.put(linear.groupBy("g", "i", "j").applyInArrow(_verify(num, den), "a long, b long"), "edges-1")
