@@ -4,15 +4,16 @@ Documents become pieces of at most ``size`` tokens. What is packed is the histog
 rows whatever the number of documents, so the search runs on the driver over a bounded table. It takes the largest
 length left, enumerates the undominated fillings of the room beside it, and packs the best filling as often as the
 counts allow. A best-fit-decreasing packing is the first incumbent; fillings whose waste would bring the whole above
-the incumbent's number of sequences are pruned, and the search stops when the incumbent meets the bound
-ceil(tokens / size). Pieces then find their place by their rank among pieces of the same length: ranks come from a
+the incumbent's number of sequences are pruned. Every better packing becomes the incumbent and the search goes on from
+there, with more fillings to a node by the turn, until the incumbent meets the bound
+ceil(tokens / size), nothing is left to try, or STEPS steps are spent. Steps are counted, not timed: equal lengths give
+equal packings on any machine. Pieces then find their place by their rank among pieces of the same length: ranks come from a
 range-partitioned sort and partition offsets, so that a length which a third of all pieces share is still spread out.
 """
 
 from __future__ import annotations
 
 import bisect
-import time
 import zlib
 
 import numpy as np
@@ -24,8 +25,10 @@ from tessera.llm import tokens
 from tessera.llm.common import Workspace, read, ship
 
 SIZE = 4096
-#: Nodes of the search over all; beyond it the incumbent stands. A bound on the driver's time, not on what is packed.
-NODES = 200_000
+#: Steps of the search over all (nodes, pieces tried in a filling, fillings compared); then the incumbent stands. A bound on
+#: the driver's work and memory, not on what is packed. By the turn: fillings listed at a node, of these tried, and the share of the steps in percent.
+STEPS = 2_000_000
+TURNS = ((8, 1, 30), (32, 4, 30), (128, 16, 30), (1024, None, 10))
 
 Pattern = tuple[int, ...]
 
@@ -72,8 +75,16 @@ def best_fit(counts: dict[int, int], size: int) -> list[tuple[Pattern, int]]:
     return done + [(p, n) for groups in open_bins.values() for p, n in groups]
 
 
-def fillings(room: int, lengths: list[int], counts: dict[int, int], most: int, waste: int) -> list[Pattern]:
-    """Undominated fillings of ``room`` from ``lengths`` (descending), the fullest first, at most ``most`` of them.
+class Budget:
+    """Steps left."""
+
+    def __init__(self, steps: int):
+        self.left = steps
+
+
+def fillings(room: int, lengths: list[int], counts: dict[int, int], waste: int, budget: Budget, most: int | None = None) -> list[Pattern]:
+    """Undominated fillings of ``room`` from ``lengths`` (descending), the fullest first; ``most``: of the first so many
+    found, in descending order of their pieces.
 
     A filling is dominated by another that puts larger pieces in place of its own; those with more than ``waste``
     tokens of room left are pruned. A single piece that fills the room exactly dominates all.
@@ -81,39 +92,48 @@ def fillings(room: int, lengths: list[int], counts: dict[int, int], most: int, w
     if counts.get(room):
         return [(room,)]
     out: list[tuple[int, Pattern]] = []
+    least = lengths[-1] if lengths else room + 1
+    used: list[int] = []
+    taken: dict[int, int] = {}
     steps = 0
-
-    def go(k: int, left: int, used: list[int]) -> None:
-        nonlocal steps
-        while k < len(lengths) and len(out) < most and steps < 40 * most:
-            steps += 1
+    places, left, k = [], room, 0  # the places of the pieces taken, room left, next place to try
+    while True:
+        full = left < least
+        if not full:
+            k = bisect.bisect_left(lengths, -left, k, key=lambda v: -v)
+            while k < len(lengths) and taken.get(lengths[k], 0) >= counts[lengths[k]]:
+                k += 1
+        steps += 1
+        if not full and k < len(lengths):
             x = lengths[k]
-            if x > left:
-                k = bisect.bisect_left(lengths, -left, k, key=lambda v: -v)
-                if k == len(lengths):
-                    break
-                x = lengths[k]
-            if used.count(x) < counts[x]:
-                used.append(x)
-                rest = left - x
-                if rest == 0 or k == len(lengths) or rest < lengths[-1]:
-                    if rest <= waste:
-                        out.append((rest, tuple(used)))
-                else:
-                    go(k, rest, used)
-                used.pop()
-                if rest == 0:
-                    return  # smaller pieces here only leave room
-            k += 1
-
-    go(0, room, [])
-    if not lengths or lengths[-1] > room:
+            used.append(x), places.append(k)
+            taken[x] = taken.get(x, 0) + 1
+            left -= x
+            continue
+        # nothing more fits from here on: this is a filling, unless it was left for a smaller piece that isn't there
+        if full and left <= waste:
+            out.append((left, tuple(used)))
+        if not places or (most and (len(out) >= most or steps > 40 * most)) or steps > budget.left:
+            break
+        exact = full and left == 0
+        x, k = used.pop(), places.pop() + 1
+        taken[x] -= 1
+        left += x
+        if exact and places:  # smaller pieces in the last place only leave room
+            x, k = used.pop(), places.pop() + 1
+            taken[x] -= 1
+            left += x
+    if not lengths or least > room:
         out.append((room, ()))
-    out.sort(key=lambda f: (f[0], tuple(-x for x in f[1])))
+    out = sorted(set(out), key=lambda f: (f[0], tuple(-x for x in f[1])))
     kept: list[Pattern] = []
     for _, f in out:
+        steps += len(kept)
+        if steps > budget.left and kept:
+            break
         if not any(_dominates(g, f) for g in kept):
             kept.append(f)
+    budget.left -= steps
     return kept
 
 
@@ -130,62 +150,99 @@ def _dominates(g: Pattern, f: Pattern) -> bool:
     return True
 
 
-def complete_bins(counts: dict[int, int], size: int = SIZE, nodes: int = NODES, seconds: float = 20.0) -> list[tuple[Pattern, int]]:
+def complete_bins(counts: dict[int, int], size: int = SIZE, steps: int = STEPS) -> list[tuple[Pattern, int]]:
     """As few sequences as the search finds: (lengths in a sequence, how often), for a histogram of lengths of 1 to ``size``."""
     counts = {k: n for k, n in counts.items() if n}
     total = sum(k * n for k, n in counts.items())
     least = -(-total // size)
     incumbent = best_fit(counts, size)
-    if sum(n for _, n in incumbent) <= least:
-        return incumbent
-    best, until, spent = sum(n for _, n in incumbent), time.monotonic() + seconds, 0
-    for wide in (1, 4, 16):  # more fillings to a node, and backtracking among them, by the turn
-        stack = [(counts, None, 0, (best - 1) * size - total)]  # lengths left, sequences made, how many, waste that a better packing can bear
-        while stack and spent < nodes and time.monotonic() < until:
-            left, made, used, spare = stack.pop()
-            spent += 1
-            if spare < 0:
-                continue
-            if not left:
-                best, incumbent = used, []
-                while made:
-                    pattern, n, made = made
-                    incumbent.append((pattern, n))
-                break
-            big = max(left)
-            others = dict(left)
-            others[big] -= 1
-            choices = fillings(size - big, sorted((x for x, n in others.items() if n), reverse=True), others, 8 * wide, spare)
-            nodes_below = []
-            for filling in choices[:wide]:
-                pattern = (big, *filling)
-                waste = size - sum(pattern)
-                need = {x: pattern.count(x) for x in set(pattern)}
-                n = min(left[x] // k for x, k in need.items())
-                n = min(n, spare // waste) if waste else n
-                if n:
-                    rest = {x: c - n * need.get(x, 0) for x, c in left.items() if c > n * need.get(x, 0)}
-                    nodes_below.append((rest, (pattern, n, made), used + n, spare - n * waste))
-            stack += reversed(nodes_below)
-            del stack[:-64]
+    for most, wide, share in TURNS:
+        best = sum(n for _, n in incumbent)
         if best <= least:
             break
+        incumbent = _search(counts, size, total, least, best, Budget(steps * share // 100), most, wide) or incumbent
     return incumbent
 
 
-def _cut(path: str, size: int, end: int):
-    tail = np.array([end], "<u4").tobytes()
+def _search(counts: dict[int, int], size: int, total: int, least: int, best: int, budget: Budget, most: int | None, wide: int | None) -> list[tuple[Pattern, int]] | None:
+    """The best packing found of fewer than ``best`` sequences, if any, by depth-first search with undoing."""
+    left, lengths = dict(counts), sorted(counts)  # ascending
+    spare = (best - 1) * size - total  # waste that a better packing can bear
+    made: list[tuple[Pattern, int]] = []  # the path; a choice of each frame
+    frames: list = []
+    found, used = None, 0
+
+    def change(pattern: Pattern, n: int) -> None:
+        for x in pattern:
+            before = left.get(x, 0)
+            left[x] = before - n
+            if not left[x]:
+                del left[x]
+                del lengths[bisect.bisect_left(lengths, x)]
+            elif not before:
+                bisect.insort(lengths, x)
+
+    def choices():
+        """Patterns and how often, for the largest length left. A frame holds these alone, not what they were found from."""
+        big = lengths[-1]
+        others = dict(left)
+        others[big] -= 1
+        out = []
+        for filling in fillings(size - big, [x for x in reversed(lengths) if others[x]], others, spare, budget, most)[:wide]:
+            pattern = (big, *filling)
+            waste = size - sum(pattern)
+            n = min(left[x] // pattern.count(x) for x in set(pattern))
+            n = min(n, spare // waste) if waste else n
+            if n:
+                out.append((pattern, n))
+        # as often as it goes; in the last turn less often, too
+        return iter(out) if wide else ((pattern, k) for pattern, n in out for k in range(n, 0, -1))
+
+    while True:
+        if not lengths and spare >= 0:
+            found = list(made)
+            spare -= (best - used) * size
+            best = used
+            if best <= least:
+                return found
+        budget.left -= 1
+        frames.append(choices() if lengths and spare >= 0 else iter(()))
+        while True:
+            step = next(frames[-1], None) if spare >= 0 and budget.left > 0 else None
+            if step and step[1] * (size - sum(step[0])) <= spare:
+                break
+            if step:  # a better incumbent came meanwhile
+                continue
+            frames.pop()
+            if not frames:
+                return found
+            pattern, n = made.pop()  # back to the frame below, whose choice this was
+            change(pattern, -n)
+            used -= n
+            spare += n * (size - sum(pattern))
+        pattern, n = step
+        change(pattern, n)
+        made.append((pattern, n))
+        used += n
+        spare -= n * (size - sum(pattern))
+
 
+def _cut(path: str, size: int, end: int):
     def run(batches):
         enc = tokens.encoder(path)
         for b in batches:
-            doc, piece, start, length, crc = [], [], [], [], []
-            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids = memoryview(enc.ids(t) + tail)
-                for p, k in enumerate(range(0, len(ids), 4 * size)):
-                    part = ids[k : k + 4 * size]
-                    doc.append(d), piece.append(p), start.append(k // 4), length.append(len(part) // 4), crc.append(zlib.crc32(part))
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            for c in tokens.slices(b, 1):
+                ids, at = enc.column(c.column(1), end)
+                long = np.diff(at)
+                many = -(-long // size)  # pieces of each text; every text has its end
+                row = np.repeat(np.arange(c.num_rows), many)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+                start = piece * size
+                length = np.minimum(size, long[row] - start)
+                first = at[row] + start
+                view = memoryview(np.ascontiguousarray(ids)).cast("B")
+                crc = [zlib.crc32(view[i:j]) for i, j in zip((4 * first).tolist(), (4 * (first + length)).tolist())]
+                yield pa.RecordBatch.from_arrays([c.column(0).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return run
 
@@ -200,9 +257,11 @@ def place(pieces: DataFrame, ws: Workspace, size: int = SIZE) -> DataFrame:
     """Adds sequence_id and offset (long) to pieces (doc_id, piece, length, ...), every one of 1 to ``size`` tokens.
 
     Repeated rows are packed each; ties among equal lengths go by doc_id and piece and, between equal rows, by chance,
-    which changes no number of sequences. An empty table gives no rows; further columns stay.
+    which changes no number of sequences. An empty table gives no rows; further columns stay, but for any named
+    sequence_id or offset, which are replaced, and names of one underscore that this uses (_id, _part, _row, _base, _index).
     """
     spark = pieces.sparkSession
+    pieces = pieces.drop("sequence_id", "offset", "_id", "_part", "_row", "_base", "_index")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     pieces = ws.put(pieces, "pieces")  # dealing by ranges reads its input twice, once for a sample
     dealt = pieces.repartitionByRange(parts, "length", "doc_id", "piece").sortWithinPartitions("length", "doc_id", "piece")
