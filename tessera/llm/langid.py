@@ -65,12 +65,12 @@ def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _train_counts(batches):
-    """(lang, key, is_script, count) of the training texts."""
+    """(number of the language, key, is_script, count) of the training texts."""
     take_over("langid")
     for b in batches:
         for k in range(0, b.num_rows, ROWS):
             c = b.slice(k, ROWS)
-            by: dict[str, dict[str, int]] = {}
+            by: dict[int, dict[str, int]] = {}
             for text, lang in zip(c.column(0).to_pylist(), c.column(1).to_pylist()):
                 words = by.setdefault(lang, {})
                 for w in WORD.findall(text.lower()):
@@ -85,7 +85,7 @@ def _train_counts(batches):
                 sums = np.concatenate([np.bincount(at, n[who]), np.bincount(put, n)]).astype(np.int64)
                 flag = np.arange(len(sums)) >= len(key)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(sums), pa.string()), pa.array(np.concatenate([key.view(np.int64), kinds.astype(np.int64)])), pa.array(flag), pa.array(sums)], names=["lang", "key", "is_script", "n"]
+                    [pa.array(np.full(len(sums), lang), pa.int32()), pa.array(np.concatenate([key.view(np.int64), kinds.astype(np.int64)])), pa.array(flag), pa.array(sums)], names=["lang", "key", "is_script", "n"]
                 )
     give_back()
 
@@ -106,12 +106,12 @@ def fit(labelled: DataFrame, per_lang: int = TRAIN_PER_LANG) -> dict:
         return {"langs": [], "keys": none.astype(np.uint64), "at": np.zeros(1, np.int64), "lang": none.astype(np.int32), "gain": none.astype(np.float32), "base": none, "scripts": np.zeros((len(_KINDS), 0), bool)}
     h = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("langid")), F.lit(1 << 20))
     spark = rows.sparkSession
-    cuts = spark.createDataFrame([(x, min(1 << 20, -(-(per_lang << 20) // n))) for x, n in share.items()], "lang string, cut long")
+    cuts = spark.createDataFrame([(x, k, min(1 << 20, -(-(per_lang << 20) // share[x]))) for k, x in enumerate(langs)], "lang string, no int, cut long")
     ship(spark)
-    picked = rows.join(cuts, "lang").where(h < F.col("cut")).select("text", "lang")
-    counts = picked.mapInArrow(_train_counts, "lang string, key long, is_script boolean, n long").groupBy("key", "is_script", "lang").agg(F.sum("n").alias("n")).toArrow()
-    which = {x: k for k, x in enumerate(langs)}
-    lang = np.array([which[x] for x in counts.column("lang").to_pylist()], np.int32)
+    # broadcast: a row for each language, of which the model holds far more
+    picked = rows.join(F.broadcast(cuts), "lang").where(h < F.col("cut")).select("text", F.col("no").alias("lang"))
+    counts = picked.mapInArrow(_train_counts, "lang int, key long, is_script boolean, n long").groupBy("key", "is_script", "lang").agg(F.sum("n").alias("n")).toArrow()
+    lang = counts.column("lang").to_numpy()
     key, flag, n = counts.column("key").to_numpy().view(np.uint64), counts.column("is_script").to_numpy(), counts.column("n").to_numpy().astype(float)
     scripts = np.zeros((len(_KINDS), len(langs)), bool)
     scripts[key[flag].astype(int), lang[flag]] = True
