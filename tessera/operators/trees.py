@@ -212,6 +212,22 @@ def alpha_tree(px: DataFrame, nb: str = "c4") -> DataFrame:
     return per_image(px, run, "image_id long, node_id long, parent_id long, alpha int")
 
 
+def alpha_cut(px: DataFrame, bound: float, nb: str = "c4") -> DataFrame:
+    """Cut of the α-tree by extent: a pixel's zone is the highest node above it whose values all lie less than ``bound``
+    apart; a pixel that has none such above it is its own zone. Zones are numbered in scan order."""
+
+    def run(g: Grid):
+        rows = k.alpha_tree(g["v"], g.mask, k.NEIGHBOURS[nb])
+        zone = k.cut_by_extent({r[0]: r[1] for r in rows}, g["v"].ravel(), bound)
+        names: dict[int, int] = {}
+        lab = np.zeros(g.mask.size, np.int64)
+        for i in np.nonzero(g.mask.ravel())[0].tolist():
+            lab[i] = names.setdefault(zone[i], len(names) + 1)
+        return g.pixels(label=lab.reshape(g.mask.shape))
+
+    return per_image(px, run, "image_id long, y int, x int, label long")
+
+
 def alpha_zones(px: DataFrame, alpha: int, nb: str = "c4") -> DataFrame:
     """Partition at one level of the α-tree: zones linked by steps of at most ``alpha``, numbered in scan order."""
 

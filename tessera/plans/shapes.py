@@ -167,13 +167,8 @@ def _(s, d):
 
 @query("alpha_tree_cut", "image_id y x label")
 def _(s, d):
-    """Zones of the α-tree at a level, as far as their extent of values stays below a bound: others fall apart into flat zones."""
-    p = px16(s, d)
-    z = trees.alpha_zones(p, 1)
-    wide = z.join(p, ["image_id", "y", "x"]).groupBy("image_id", "label").agg((F.max("v") - F.min("v")).alias("w"))
-    flat = connected.flat_zones(p).withColumnRenamed("label", "flat")
-    j = z.join(wide, ["image_id", "label"]).join(flat, ["image_id", "y", "x"])
-    return j.select("image_id", "y", "x", F.when(F.col("w") < 3, F.col("label")).otherwise(F.col("flat") + 1000).alias("label"))
+    """Cut of the α-tree into the largest zones whose values lie less than 3 apart."""
+    return trees.alpha_cut(px16(s, d), 3)
 
 
 @query("seeded_segmentation_colour", S)
