@@ -61,7 +61,7 @@ STAGES = [
     ("pack", pack),
 ]
 
-#: SQL can express neither the language model nor the packing; tests hold the stages against brute force.
+#: SQL can express neither the language model nor the packing; tests/llm holds every stage against brute force.
 ORACLE_SQL = None
 
 
