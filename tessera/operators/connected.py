@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import kernels as k
-from tessera.operators.rasterwise import Grid, per_image
+from tessera.operators.rasterwise import Grid, checkpoints, per_image
 from tessera.sources.rasters import K
 
 SITE = "image_id long, y int, x int"
@@ -25,11 +25,7 @@ def blobs(px: DataFrame, nb: str = "c4") -> DataFrame:
 def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """(node, root) of edges (a, b): the smallest node reachable, by hooking and pointer doubling. Lineage is cut by
     reliable checkpoints every round (spark.checkpoint.dir)."""
-    sc = edges.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        sc.setCheckpointDir(edges.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
+    checkpoints(edges.sparkSession)
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct().checkpoint()
     every = both.select(F.col("a").alias("node")).distinct()
     if nodes is not None:

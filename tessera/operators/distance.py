@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import kernels as k
+from tessera.operators import trees
+from tessera.operators.forest import Forest, by_tree, with_tree
 from tessera.operators.rasterwise import Grid, per_image
 from tessera.sources.rasters import K
 
@@ -92,26 +95,33 @@ def interval_dahu(px: DataFrame, sides: str | None = "tblr") -> DataFrame:
     return _map(px, lambda g, s: k.interval_dahu(g["v"], s), sides)
 
 
-def dahu_pairs(nodes: DataFrame, up: DataFrame, pairs: DataFrame) -> DataFrame:
+def dahu_pairs(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """Dahu distance of pairs of nodes (image_id, a, b): the range of levels along the tree path through their least
-    common ancestor. Joins on the closure only."""
-    from tessera.operators.trees import lca
+    common ancestor. Pairs as in ``trees.lca``."""
 
-    top = lca(up, pairs)
-    lev = nodes.select("image_id", F.col("node_id").alias("anc"), "level")
-    side = lambda c, d: top.select("image_id", "a", "b", F.col(c).alias("node_id"), F.col(d).alias("far")).join(up, ["image_id", "node_id"]).where("dist <= far").select("image_id", "a", "b", "anc")
-    path = side("a", "da").unionByName(side("b", "db")).join(lev, ["image_id", "anc"])
-    return path.groupBy("image_id", "a", "b").agg((F.max("level") - F.min("level")).alias("d"))
+    def run(f: Forest, rows: pa.Table) -> dict:
+        a, b, top = trees._pairs(f, rows)
+        level = f["level"].astype(np.int64)
+        (la, ha), (lb, hb) = (f.span(x, f.depth[x] - f.depth[top], level) for x in (a, b))
+        return {"a": f.id[a], "b": f.id[b], "d": np.maximum(ha, hb) - np.minimum(la, lb)}
 
+    return with_tree(nodes.select("image_id", "node_id", "parent_id", "level"), pairs.select("image_id", "a", "b"), run, "image_id long, a long, b long, d int")
 
-def k_max_distance(nodes: DataFrame, up: DataFrame, k_most: int = 200) -> DataFrame:
-    """Sum of the largest ``k_most`` level jumps from each node up to the root; sums don't wrap."""
-    from tessera.operators.views import k_most as most
 
-    lev = nodes.select("image_id", F.col("node_id").alias("parent_id"), F.col("level").alias("_l"))
-    jump = nodes.join(lev, ["image_id", "parent_id"]).select("image_id", F.col("node_id").alias("anc"), F.abs(F.col("level") - F.col("_l")).alias("jump"))
-    rows = most(up.join(jump, ["image_id", "anc"]), ["image_id", "node_id"], "jump", k_most)
-    return rows.select("image_id", "node_id", F.aggregate("most", F.lit(0), lambda a, x: a + x).alias("d"))
+def k_max_distance(nodes: DataFrame, k_most: int = 200) -> DataFrame:
+    """Sum of the largest ``k_most`` level jumps from each node up to the root, for all but roots; sums don't wrap."""
+
+    def run(f: Forest) -> dict:
+        level, d = f["level"].astype(np.int64), np.zeros(len(f), np.int64)
+        place, most = np.zeros(len(f), np.int64), np.zeros((len(f.layers[0]), 0), np.int64)  # jumps of the layer above
+        place[f.layers[0]] = np.arange(len(f.layers[0]))
+        for n, u in f.down():
+            most = np.sort(np.c_[most[place[u]], np.abs(level[n] - level[u])], axis=1)[:, -k_most:]
+            place[n] = np.arange(len(n))
+            d[n] = most.sum(axis=1)
+        return {"node_id": f.id[f.up >= 0], "d": d[f.up >= 0]}
+
+    return by_tree(nodes.select("image_id", "node_id", "parent_id", "level"), run, "image_id long, node_id long, d long")
 
 
 def tree_dijkstra(px: DataFrame, kind: str = "tos") -> DataFrame:

@@ -46,6 +46,21 @@ class Grid:
         return {"image_id": np.full(n, self.image), **columns}
 
 
+def checkpoints(spark) -> None:
+    """Sets the folder of checkpoints: the shared one that spark.checkpoint.dir names; an own one only where it is unset."""
+    sc = spark.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        import tempfile
+
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows of ``df``, worked out once and written to the folder of checkpoints, for plans that read them several times."""
+    checkpoints(df.sparkSession)
+    return df.checkpoint()
+
+
 def per_image(px: DataFrame, kernel: Callable[[Grid], dict], schema: str, columns: list[str] = ["v"]) -> DataFrame:
     """``kernel`` takes a Grid and returns columns for ``schema``. Rows of an image meet in one task; pixels that
     repeat a site overwrite each other; null values count as 0."""

@@ -1,6 +1,6 @@
 """Attributes and filters on trees of nodes, multivariate trees of shapes and what is segmented with them.
 
-Node attributes are joins on ``nodes``, ``pmap`` and the closure. What depends on an order of nodes (filters on the
+Node attributes are joins on ``nodes`` and ``pmap`` and walks over the nodes. What depends on an order of nodes (filters on the
 tree as a graph, greedy detection, merging shapes of several trees) runs by image over numpy arrays.
 """
 
@@ -9,23 +9,25 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import kernels as k
 from tessera.operators import neighbours as nb
 from tessera.operators import trees
+from tessera.operators.forest import Forest, with_tree
 from tessera.operators.rasterwise import Grid, per_image
 from tessera.sources.rasters import K
 
 SITE = "image_id long, y int, x int"
 
 
-def gradient_magnitude(px: DataFrame, pmap: DataFrame, up: DataFrame, levels: int) -> DataFrame:
+def gradient_magnitude(px: DataFrame, pmap: DataFrame, nodes: DataFrame, levels: int) -> DataFrame:
     """1 less the mean contrast along each node's contour, contrast as a share of ``levels`` - 1; 1 for the root."""
     e = nb.edges(px).select(*K, "qy", "qx", (1 - F.abs(F.col("v") - F.col("q_v")) / (levels - 1)).alias("e"))
-    got = trees.on_contour(pmap, up, e).select("image_id", "node_id", (F.col("s") / F.col("n")).alias("a"))
-    return trees.nodes_of(pmap).select("image_id", "node_id").join(got, ["image_id", "node_id"], "left").fillna(1.0, ["a"])
+    got = trees.on_contour(pmap, nodes, e).select("image_id", "node_id", (F.col("s") / F.col("n")).alias("a"))
+    return nodes.select("image_id", "node_id").join(got, ["image_id", "node_id"], "left").fillna(1.0, ["a"])
 
 
 def pattern_spectrum(nodes: DataFrame, attribute: DataFrame, step: float = 0.1) -> DataFrame:
@@ -34,16 +36,16 @@ def pattern_spectrum(nodes: DataFrame, attribute: DataFrame, step: float = 0.1)
     return own.groupBy("image_id", F.floor(F.col("a") / step + 1e-9).alias("bin")).agg(F.count("*").alias("n"), F.sum("area").alias("area"))
 
 
-def mean_on_nodes(px: DataFrame, pmap: DataFrame, up: DataFrame, whole: bool = True) -> DataFrame:
+def mean_on_nodes(px: DataFrame, pmap: DataFrame, nodes: DataFrame, whole: bool = True) -> DataFrame:
     """Pixels take the truncated mean of their node's component (``whole``) or of its own pixels."""
     if whole:
-        t = trees.rolled_up(pmap, px, {"s": (F.sum("v"), "sum"), "n": (F.count("v"), "sum")}, up)
+        t = trees.rolled_up(pmap, px, {"s": (F.sum("v"), "sum"), "n": (F.count("v"), "sum")}, nodes)
     else:
         t = trees.proper(pmap, px, {"s": F.sum("v"), "n": F.count("v")})
     return trees.reconstruct(pmap, t.withColumn("m", F.floor(F.col("s") / F.col("n")).cast("int")), "m")
 
 
-def regional_energy(px: DataFrame, pmap: DataFrame, up: DataFrame, radius: int = 1) -> DataFrame:
+def regional_energy(px: DataFrame, pmap: DataFrame, nodes: DataFrame, radius: int = 1) -> DataFrame:
     """Meaningfulness: variance inside, outside and over both of a band of ``radius`` pixels along each node's contour.
     Inside: pixels of the node whose ball leaves it; outside: others whose ball meets it. One row of a ball's pair is
     first brought to pairs of a pixel and a node."""
@@ -51,24 +53,40 @@ def regional_energy(px: DataFrame, pmap: DataFrame, up: DataFrame, radius: int =
     ball = tuple(o for o in nb.ball(radius) if o != (0, 0))
     far = nb.scatter(m.select(*K, F.col("node_id").alias("b")), ball, ["b"]).select(*K, "b")
     pairs = m.select(*K, "v", F.col("node_id").alias("a")).join(far, K).where("a <> b").select(*K, "v", "a", "b").distinct()
-    top = trees.lca(up, pairs.select("image_id", "a", "b").distinct())
-    p = pairs.join(top, ["image_id", "a", "b"])
-    side = lambda c, d: p.select(*K, "v", F.col(c).alias("node_id"), F.col(d).alias("far")).where("far > 0").join(up, ["image_id", "node_id"]).where("dist < far").select(*K, "v", F.col("anc").alias("node_id")).distinct()
-    inner = side("a", "da").withColumn("inside", F.lit(True))
-    outer = side("b", "db").withColumn("inside", F.lit(False))
-    both = inner.unionByName(outer)
+    path = trees.paths(nodes, pairs.select("image_id", "a", "b").distinct())
+    both = pairs.join(path, ["image_id", "a", "b"]).select(*K, "v", "node_id", "inside").distinct()
     var = lambda c: F.coalesce(F.var_pop(F.when(c, F.col("v"))), F.lit(0.0))
     return both.groupBy("image_id", "node_id").agg(var(F.col("inside")).alias("internal"), var(~F.col("inside")).alias("external"), F.var_pop("v").alias("total"))
 
 
-def coverage(labels: DataFrame, pmap: DataFrame, up: DataFrame) -> DataFrame:
-    """For each label of (image_id, y, x, label) the best Jaccard index of its pixels with a node's."""
+def coverage(labels: DataFrame, pmap: DataFrame, nodes: DataFrame) -> DataFrame:
+    """For each label of (image_id, y, x, label) the best Jaccard index of its pixels with a node's. Counts of a label
+    and a node go up the tree, those that meet in a node are summed up. Pixels that no node holds only count as the
+    label's; labels without any other give no row."""
     cell = labels.join(pmap.select(*K, "node_id"), K).groupBy("image_id", "label", "node_id").agg(F.count("*").alias("n"))
-    inter = cell.join(up, ["image_id", "node_id"]).groupBy("image_id", "label", F.col("anc").alias("node_id")).agg(F.sum("n").alias("n"))
     size = labels.groupBy("image_id", "label").agg(F.count("*").alias("size"))
-    area = trees.nodes_of(pmap).select("image_id", "node_id", "area")
-    j = inter.join(size, ["image_id", "label"]).join(area, ["image_id", "node_id"])
-    return j.groupBy("image_id", "label").agg(F.max(F.col("n") / (F.col("size") + F.col("area") - F.col("n"))).alias("jaccard"))
+    rows = cell.join(size, ["image_id", "label"]).withColumn("label", F.col("label").cast("long"))
+
+    def run(f: Forest, r: pa.Table) -> dict:
+        names, of = np.unique(r.column("label").to_numpy(zero_copy_only=False), return_inverse=True)
+        sizes, n, at = (r.column("size").to_numpy(zero_copy_only=False), r.column("n").to_numpy(zero_copy_only=False), f.at(r.column("node_id")))
+        total, best, area = np.zeros(len(names), np.int64), np.zeros(len(names)), f["area"].astype(np.int64)
+        total[of] = sizes
+        own = np.where(at >= 0, f.depth[at], -1)
+        label, node, count = (np.zeros(0, np.int64),) * 3
+        for d in range(len(f.layers) - 1, -1, -1):
+            here = own == d
+            key, back = np.unique(np.r_[label, of[here]] * len(f) + np.r_[node, at[here]], return_inverse=True)
+            if not len(key):
+                continue
+            count = np.bincount(back, np.r_[count, n[here]]).astype(np.int64)
+            label, node = np.divmod(key, len(f))
+            np.maximum.at(best, label, count / (total[label] + area[node] - count))
+            keep = f.up[node] >= 0
+            label, node, count = label[keep], f.up[node[keep]], count[keep]
+        return {"label": names, "jaccard": best}
+
+    return with_tree(nodes.select("image_id", "node_id", "parent_id", "area"), rows, run, "image_id long, label long, jaccard double")
 
 
 class Tree:

@@ -1,17 +1,22 @@
 """Component trees as tables: nodes(image_id, node_id, parent_id, level, area, depth) and pmap(image_id, y, x, node_id).
 
 A node's id is the flat index of its first pixel in scan order; the root's parent is null; parents are listed before
-children. Trees are built by a kernel by image; what follows is joins. The ancestor closure is made by doubling: pairs
-double their reach each round, so rounds grow with the logarithm of the depth.
+children. Trees are built by a kernel by image. Filters, roll-ups and paths run by image, too, over the table of nodes
+(``forest``), linear in nodes; values meet nodes and pixels by joins. ``closure`` lists every node's ancestors, for what
+needs them all: nodes times depth rows, by doubling.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import kernels as k
+from tessera.operators.forest import ARROW, Forest, by_tree, with_tree
 from tessera.operators.rasterwise import Grid, per_image
 from tessera.sources.rasters import K
 
@@ -60,9 +65,13 @@ def closure(nodes: DataFrame) -> DataFrame:
     return own.unionByName(steps)
 
 
+def _bare(nodes: DataFrame, *columns) -> DataFrame:
+    return nodes.select("image_id", "node_id", "parent_id", *columns)
+
+
 def depths(nodes: DataFrame) -> DataFrame:
-    """Depth of every node from the closure; 0 for the root."""
-    return closure(nodes).groupBy("image_id", "node_id").agg(F.max("dist").alias("depth"))
+    """Depth of every node; 0 for the root."""
+    return by_tree(_bare(nodes), lambda f: {"node_id": f.id, "depth": f.depth}, "image_id long, node_id long, depth int")
 
 
 def proper(pmap: DataFrame, px: DataFrame, aggs: dict[str, Column]) -> DataFrame:
@@ -70,52 +79,96 @@ def proper(pmap: DataFrame, px: DataFrame, aggs: dict[str, Column]) -> DataFrame
     return pmap.select(*K, "node_id").join(px, K).groupBy("image_id", "node_id").agg(*[a.alias(n) for n, a in aggs.items()])
 
 
-def rolled_up(pmap: DataFrame, px: DataFrame, aggs: dict[str, tuple[Column, str]], up: DataFrame) -> DataFrame:
-    """Aggregates over each node's subtree: ``aggs`` gives for each name the aggregate over pixels and how partial
-    results merge (sum, min or max). Pixels are summed up by node before the closure multiplies rows."""
-    own = proper(pmap, px, {n: a for n, (a, _) in aggs.items()})
-    merge = {"sum": F.sum, "min": F.min, "max": F.max}
-    return own.join(up, ["image_id", "node_id"]).groupBy("image_id", F.col("anc").alias("node_id")).agg(*[merge[m](n).alias(n) for n, (_, m) in aggs.items()])
+def rolled_up(pmap: DataFrame, px: DataFrame, aggs: dict[str, tuple[Column, str]], nodes: DataFrame) -> DataFrame:
+    """Aggregates over each node's subtree: ``aggs`` gives for each name the aggregate over pixels, a number, and how
+    partial results merge (sum, min or max). Pixels are summed up by node, then nodes by image from the leaves up; null
+    is left out, and nodes without a pixel in ``px`` at or below them give no row."""
+    own = proper(pmap, px, {n: a for n, (a, _) in aggs.items()}).withColumn("_own", F.lit(1))
+    kinds = dict(own.dtypes)
+    rows = _bare(nodes).join(own, ["image_id", "node_id"], "left")
+    merge = {n: how for n, (_, how) in aggs.items()}
+    ufunc = {"sum": np.add, "min": np.minimum, "max": np.maximum}
+
+    def run(f: Forest) -> dict:
+        some = f.roll(f.table.column("_own").is_valid().to_numpy().astype(np.int64), np.add) > 0
+        out = {"node_id": f.id[some]}
+        for n, how in merge.items():
+            c = f.table.column(n)
+            real = kinds[n] in ("double", "float")
+            far = (np.inf if real else np.iinfo(np.int64).max) * (1 if how == "min" else -1)
+            v = c.cast(ARROW["double" if real else "long"]).fill_null(0 if how == "sum" else far).to_numpy(zero_copy_only=False)
+            known = f.roll(c.is_valid().to_numpy().astype(np.int64), np.add) > 0
+            out[n] = pa.array(f.roll(v, ufunc[how])[some], mask=~known[some])
+        return out
+
+    wide = {n: ("double" if kinds[n] in ("double", "float") else "long") if how == "sum" else kinds[n] for n, how in merge.items()}
+    return by_tree(rows, run, ", ".join(["image_id long", "node_id long", *[f"{n} {t}" for n, t in wide.items()]]))
+
+
+def _marked(nodes: DataFrame, keep: Column, *columns) -> DataFrame:
+    return _bare(nodes, *columns, F.coalesce(keep, F.lit(False)).alias("_keep"))
+
+
+def nearest(nodes: DataFrame, keep: Column, keys: list[str] = ["image_id"]) -> DataFrame:
+    """(keys, node_id, anc, dist, level, above): the nearest kept node upwards, itself included, the steps to it and its
+    level, and the nearest kept one that is not the node itself (null: none). Roots are always kept, nodes for which
+    ``keep`` is null are not."""
 
+    def run(f: Forest) -> dict:
+        at = f.nearest(f["_keep"].astype(bool))
+        above = np.where(f.up >= 0, at[f.up], 0)
+        return {"node_id": f.id, "anc": f.id[at], "dist": f.depth - f.depth[at], "level": f["level"][at], "above": pa.array(f.id[above], mask=f.up < 0)}
 
-def filter_direct(nodes: DataFrame, keep: Column, up: DataFrame) -> DataFrame:
+    rows = _marked(nodes, keep, "level", *[c for c in keys if c != "image_id"])
+    return by_tree(rows, run, ", ".join([*[f"{c} {'long' if c == 'image_id' else dict(nodes.dtypes)[c]}" for c in keys], "node_id long, anc long, dist int, level int, above long"]), keys)
+
+
+def filter_direct(nodes: DataFrame, keep: Column) -> DataFrame:
     """(image_id, node_id, level) with the level of the nearest kept ancestor-or-self; the root is always kept."""
-    kept = nodes.where(keep | F.col("parent_id").isNull()).select("image_id", F.col("node_id").alias("anc"), "level")
-    return up.join(kept, ["image_id", "anc"]).groupBy("image_id", "node_id").agg(F.min_by("level", "dist").alias("level"))
+    return nearest(nodes, keep).select("image_id", "node_id", "level")
+
+
+def _pruned(nodes: DataFrame, keep: Column, alive: Callable[[Forest, np.ndarray], np.ndarray]) -> DataFrame:
+    def run(f: Forest) -> dict:
+        at = f.nearest(alive(f, f["_keep"].astype(bool) | (f.up < 0)))
+        return {"node_id": f.id, "level": f["level"][at]}
 
+    return by_tree(_marked(nodes, keep, "level"), run, "image_id long, node_id long, level int")
 
-def filter_min(nodes: DataFrame, keep: Column, up: DataFrame) -> DataFrame:
+
+def filter_min(nodes: DataFrame, keep: Column) -> DataFrame:
     """A failing node takes its subtree with it: kept if all ancestors-or-self pass (the root counts as passing)."""
-    ok = nodes.select("image_id", F.col("node_id").alias("anc"), (keep | F.col("parent_id").isNull()).alias("ok"))
-    alive = up.join(ok, ["image_id", "anc"]).groupBy("image_id", "node_id").agg(F.bool_and("ok").alias("alive"))
-    return _with_alive(nodes, alive, up)
 
+    def alive(f: Forest, ok: np.ndarray) -> np.ndarray:
+        for n, u in f.down():
+            ok[n] &= ok[u]
+        return ok
 
-def filter_max(nodes: DataFrame, keep: Column, up: DataFrame) -> DataFrame:
-    """A node stays if it or any descendant passes; the root stays."""
-    ok = nodes.select("image_id", "node_id", (keep | F.col("parent_id").isNull()).alias("ok"))
-    alive = up.join(ok, ["image_id", "node_id"]).groupBy("image_id", F.col("anc").alias("node_id")).agg(F.bool_or("ok").alias("alive"))
-    return _with_alive(nodes, alive, up)
+    return _pruned(nodes, keep, alive)
 
 
-def _with_alive(nodes: DataFrame, alive: DataFrame, up: DataFrame) -> DataFrame:
-    return filter_direct(nodes.join(alive, ["image_id", "node_id"]), F.col("alive"), up)
+def filter_max(nodes: DataFrame, keep: Column) -> DataFrame:
+    """A node stays if it or any descendant passes; the root stays."""
+    return _pruned(nodes, keep, lambda f, ok: f.roll(ok, np.logical_or))
 
 
-def area_filter_mean(pmap: DataFrame, nodes: DataFrame, px: DataFrame, area: int, up: DataFrame) -> DataFrame:
+def area_filter_mean(pmap: DataFrame, nodes: DataFrame, px: DataFrame, area: int) -> DataFrame:
     """Pixels of nodes of at least ``area`` keep their values; others take the truncated mean of the own pixels of the
     nearest such ancestor (the root else)."""
     mean = proper(pmap, px, {"s": F.sum("v"), "n": F.count("v")}).select("image_id", F.col("node_id").alias("anc"), F.floor(F.col("s") / F.col("n")).cast("int").alias("m"))
-    kept = nodes.where((F.col("area") >= area) | F.col("parent_id").isNull()).select("image_id", F.col("node_id").alias("anc"))
-    near = up.join(kept, ["image_id", "anc"]).join(mean, ["image_id", "anc"]).groupBy("image_id", "node_id").agg(F.min_by("m", "dist").alias("m"), F.min("dist").alias("far"))
-    return pmap.select(*K, "node_id").join(px.select(*K, "v"), K).join(near, ["image_id", "node_id"]).select(*K, F.when(F.col("far") == 0, F.col("v")).otherwise(F.col("m")).alias("v"))
+    near = nearest(nodes, F.col("area") >= area).select("image_id", "node_id", "anc", "dist").join(mean, ["image_id", "anc"])
+    return pmap.select(*K, "node_id").join(px.select(*K, "v"), K).join(near, ["image_id", "node_id"]).select(*K, F.when(F.col("dist") == 0, F.col("v")).otherwise(F.col("m")).alias("v"))
 
 
-def cut(nodes: DataFrame, criterion: Column, up: DataFrame) -> DataFrame:
+def cut(nodes: DataFrame, criterion: Column) -> DataFrame:
     """A node takes its parent's value while its parent fulfils the criterion."""
-    c = nodes.select("image_id", F.col("node_id").alias("_p"), criterion.alias("_c"))
-    own = nodes.join(c, (nodes["image_id"] == c["image_id"]) & (nodes["parent_id"] == c["_p"]), "left").select(nodes["*"], F.coalesce("_c", F.lit(False)).alias("_c"))
-    return filter_direct(own, ~F.col("_c"), up)
+
+    def run(f: Forest) -> dict:
+        c = f["_keep"].astype(bool)
+        at = f.nearest(~((f.up >= 0) & c[f.up]))
+        return {"node_id": f.id, "level": f["level"][at]}
+
+    return by_tree(_marked(nodes, criterion, "level"), run, "image_id long, node_id long, level int")
 
 
 def reconstruct(pmap: DataFrame, values: DataFrame, value: str = "level") -> DataFrame:
@@ -123,12 +176,9 @@ def reconstruct(pmap: DataFrame, values: DataFrame, value: str = "level") -> Dat
     return pmap.select(*K, "node_id").join(values.select("image_id", "node_id", value), ["image_id", "node_id"]).select(*K, F.col(value).alias("v"))
 
 
-def parents_after(nodes: DataFrame, kept: Column, up: DataFrame) -> DataFrame:
+def parents_after(nodes: DataFrame, kept: Column) -> DataFrame:
     """Kept nodes re-attached to their nearest kept proper ancestor: (image_id, node_id, parent_id)."""
-    alive = nodes.where(kept | F.col("parent_id").isNull()).select("image_id", "node_id")
-    far = up.where("dist > 0").join(alive.select("image_id", F.col("node_id").alias("anc")), ["image_id", "anc"])
-    near = far.groupBy("image_id", "node_id").agg(F.min_by("anc", "dist").alias("parent_id"))
-    return alive.join(near, ["image_id", "node_id"], "left")
+    return nearest(nodes, kept).where("dist = 0").select("image_id", "node_id", F.col("above").alias("parent_id"))
 
 
 def children(nodes: DataFrame) -> DataFrame:
@@ -142,64 +192,116 @@ def neighbours(nodes: DataFrame) -> DataFrame:
 
 
 def subtree(up: DataFrame, root: Column) -> DataFrame:
+    """Rows of the closure below one node."""
     return up.where(F.col("anc") == root).select("image_id", "anc", "node_id", "dist")
 
 
-def lca(up: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Least common ancestors of pairs (image_id, a, b): (…, lca, da, db) with the steps from both ends."""
-    a = up.select("image_id", F.col("node_id").alias("a"), "anc", F.col("dist").alias("da"))
-    b = up.select("image_id", F.col("node_id").alias("b"), "anc", F.col("dist").alias("db"))
-    j = pairs.select("image_id", "a", "b").join(a, ["image_id", "a"]).join(b, ["image_id", "b", "anc"])
-    return j.groupBy("image_id", "a", "b").agg(F.min_by(F.struct(F.col("anc").alias("lca"), "da", "db"), "da").alias("m")).select("image_id", "a", "b", "m.*")
+def _pairs(f: Forest, rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different pairs of a and b, and their least common ancestors; without those that have none."""
+    both = np.unique(np.stack([f.at(rows.column("a")), f.at(rows.column("b"))]), axis=1)
+    top = f.lca(*both)
+    return both[0][top >= 0], both[1][top >= 0], top[top >= 0]
+
+
+def lca(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Least common ancestors of pairs (image_id, a, b): (…, lca, da, db) with the steps from both ends. Pairs that
+    repeat give one row; those with a null, with what is no node, or of two trees give none."""
+
+    def run(f: Forest, rows: pa.Table) -> dict:
+        a, b, top = _pairs(f, rows)
+        return {"a": f.id[a], "b": f.id[b], "lca": f.id[top], "da": f.depth[a] - f.depth[top], "db": f.depth[b] - f.depth[top]}
+
+    return with_tree(_bare(nodes), pairs.select("image_id", "a", "b"), run, "image_id long, a long, b long, lca long, da int, db int")
+
+
+def paths(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(image_id, a, b, inside, node_id): the nodes that hold one pixel only of two, one of a and one of b: those from a
+    (``inside``) and from b up to below their least common ancestor. Pairs as in ``lca``."""
+
+    def run(f: Forest, rows: pa.Table) -> dict:
+        a, b, top = _pairs(f, rows)
+        out = {c: [np.zeros(0, np.int64)] for c in ("a", "b", "inside", "node_id")}
+        for inside, start in ((1, a), (0, b)):
+            which, at = np.arange(len(a)), start
+            while len(which):
+                on = at != top[which]
+                which, at = which[on], at[on]
+                for c, v in (("a", f.id[a[which]]), ("b", f.id[b[which]]), ("inside", np.full(len(at), inside)), ("node_id", f.id[at])):
+                    out[c].append(v)
+                at = f.up[at]
+        return {c: np.concatenate(v) for c, v in out.items()}
+
+    got = with_tree(_bare(nodes), pairs.select("image_id", "a", "b"), run, "image_id long, a long, b long, inside int, node_id long")
+    return got.withColumn("inside", F.col("inside") == 1)
 
 
-def smallest_enclosing(pmap_a: DataFrame, pmap_b: DataFrame, up_a: DataFrame, up_b: DataFrame) -> DataFrame:
-    """For each node of tree A the smallest node of tree B that holds all its pixels: the deepest common ancestor.
-    Counts, by pair of nodes, how many of A's pixels B's node holds; a pair holds all if the counts agree."""
-    cell = pmap_a.select(*K, F.col("node_id").alias("a")).join(pmap_b.select(*K, F.col("node_id").alias("b")), K).groupBy("image_id", "a", "b").agg(F.count("*").alias("n"))
-    ups_a = up_a.select("image_id", F.col("node_id").alias("a"), F.col("anc").alias("top_a"))
-    ups_b = up_b.select("image_id", F.col("node_id").alias("b"), F.col("anc").alias("top_b"))
-    by_a = cell.join(ups_a, ["image_id", "a"]).groupBy("image_id", "top_a", "b").agg(F.sum("n").alias("n"))
-    whole = by_a.groupBy("image_id", "top_a").agg(F.sum("n").alias("all"))
-    held = by_a.join(ups_b, ["image_id", "b"]).groupBy("image_id", "top_a", "top_b").agg(F.sum("n").alias("n")).join(whole, ["image_id", "top_a"]).where("n = all")
-    size = pmap_b.select("image_id", F.col("node_id").alias("top_b"), "area").distinct()
-    return held.join(size, ["image_id", "top_b"]).groupBy("image_id", "top_a").agg(F.min_by("top_b", "area").alias("top_b")).select("image_id", F.col("top_a").alias("node_id"), F.col("top_b").alias("other_id"))
+def preorder(nodes: DataFrame) -> DataFrame:
+    """(image_id, node_id, n): numbers by which the nodes of a subtree follow one another."""
+    return by_tree(_bare(nodes), lambda f: {"node_id": f.id, "n": f.preorder()}, "image_id long, node_id long, n long")
 
 
-def on_contour(pmap: DataFrame, up: DataFrame, edge_value: DataFrame) -> DataFrame:
-    """(image_id, node_id, s, n): for every grid edge, its value is added to all nodes that hold one end only.
-    ``edge_value``: (image_id, y, x, qy, qx, e)."""
+def smallest_enclosing(pmap_a: DataFrame, pmap_b: DataFrame, nodes_a: DataFrame, nodes_b: DataFrame) -> DataFrame:
+    """For each node of tree A the smallest node of tree B that holds all its pixels: the least common ancestor in B of
+    the first and the last of their nodes in B's preorder."""
+    number = preorder(nodes_b)
+    px = pmap_b.select(*K, "node_id").join(number, ["image_id", "node_id"]).select(*K, F.col("n").alias("v"))
+    ends = rolled_up(pmap_a, px, {"lo": (F.min("v"), "min"), "hi": (F.max("v"), "max")}, nodes_a)
+    name = lambda end, to: number.select("image_id", F.col("n").alias(end), F.col("node_id").alias(to))
+    named = ends.join(name("lo", "a"), ["image_id", "lo"]).join(name("hi", "b"), ["image_id", "hi"])
+    return named.join(lca(nodes_b, named), ["image_id", "a", "b"]).select("image_id", "node_id", F.col("lca").alias("other_id"))
+
+
+def on_contour(pmap: DataFrame, nodes: DataFrame, edge_value: DataFrame) -> DataFrame:
+    """(image_id, node_id, s, n): for every grid edge, its value is added to all nodes that hold one end only: counted at
+    both ends, taken off twice where they meet, and summed up the tree. ``edge_value``: (image_id, y, x, qy, qx, e)."""
     m = pmap.select(*K, "node_id")
     e = edge_value.join(m.withColumnRenamed("node_id", "a"), K).join(m.select("image_id", F.col("y").alias("qy"), F.col("x").alias("qx"), F.col("node_id").alias("b")), ["image_id", "qy", "qx"])
     e = e.where("a <> b").groupBy("image_id", "a", "b").agg(F.sum("e").alias("s"), F.count("*").alias("n"))  # edges between the same nodes at once
-    top = lca(up, e.select("image_id", "a", "b").distinct())
-    e = e.join(top, ["image_id", "a", "b"])
-    side = lambda c, d: e.select("image_id", F.col(c).alias("node_id"), F.col(d).alias("below"), "s", "n")
-    both = side("a", "da").unionByName(side("b", "db")).where("below > 0").join(up, ["image_id", "node_id"]).where("dist < below")
-    return both.groupBy("image_id", F.col("anc").alias("node_id")).agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    kind = dict(e.dtypes)["s"]
+
+    def run(f: Forest, rows: pa.Table) -> dict:
+        a, b = f.at(rows.column("a")), f.at(rows.column("b"))
+        top = f.lca(a, b)
+        out = {}
+        for c in "sn":
+            w = np.where(top >= 0, rows.column(c).fill_null(0).to_numpy(zero_copy_only=False), 0)
+            own = np.zeros(len(f), w.dtype)
+            for at, times in ((a, 1), (b, 1), (top, -2)):
+                np.add.at(own, at[top >= 0], times * w[top >= 0])
+            out[c] = f.roll(own, np.add)
+        some = out["n"] > 0
+        return {"node_id": f.id[some], "s": out["s"][some], "n": out["n"][some]}
+
+    return with_tree(_bare(nodes), e, run, f"image_id long, node_id long, s {kind}, n long")
 
 
-def heights(nodes: DataFrame, up: DataFrame) -> DataFrame:
+def heights(nodes: DataFrame) -> DataFrame:
     """Summed level differences from each node up to the root: (image_id, node_id, height)."""
-    lev = nodes.select("image_id", F.col("node_id").alias("parent_id"), F.col("level").alias("_l"))
-    jump = nodes.join(lev, ["image_id", "parent_id"], "left").select("image_id", F.col("node_id").alias("anc"), F.coalesce(F.abs(F.col("level") - F.col("_l")), F.lit(0)).alias("jump"))
-    return up.join(jump, ["image_id", "anc"]).groupBy("image_id", "node_id").agg(F.sum("jump").alias("height"))
+    return by_tree(_bare(nodes, "level"), lambda f: {"node_id": f.id, "height": _heights(f)}, "image_id long, node_id long, height long")
 
 
-def mser(nodes: DataFrame, up: DataFrame, eps: int, kind: str = "diff", relative: bool = False) -> DataFrame:
+def _heights(f: Forest) -> np.ndarray:
+    level = f["level"].astype(np.int64)
+    out = np.zeros(len(f), np.int64)
+    for n, u in f.down():
+        out[n] = out[u] + np.abs(level[n] - level[u])
+    return out
+
+
+def mser(nodes: DataFrame, eps: int, kind: str = "diff", relative: bool = False) -> DataFrame:
     """Stability of nodes under a change of ``eps`` levels: A+ is the area of the first ancestor-or-self that far (the
     root else), A- the largest area of nodes that reach this one so; difference, ratio or norm. ``relative``: far by the
     level differences summed up along the way, not by that of the ends."""
-    at = "height" if relative else "level"
-    nodes = nodes.join(heights(nodes, up), ["image_id", "node_id"]) if relative else nodes
-    n = nodes.select("image_id", "node_id", F.col(at).alias("own"), F.col("area").alias("a"))
-    t = nodes.select("image_id", F.col("node_id").alias("anc"), F.col(at).alias("there"), F.col("area").alias("big"), F.col("parent_id").isNull().alias("top"))
-    far = up.join(n, ["image_id", "node_id"]).join(t, ["image_id", "anc"]).where((F.abs(F.col("own") - F.col("there")) >= eps) | F.col("top"))
-    hit = far.groupBy("image_id", "node_id").agg(F.min_by(F.struct("anc", "big"), "dist").alias("h"), F.any_value("a").alias("a"))
-    minus = hit.groupBy("image_id", F.col("h.anc").alias("node_id")).agg(F.max("a").alias("minus"))
-    out = hit.select("image_id", "node_id", "a", F.col("h.big").alias("plus")).join(minus, ["image_id", "node_id"], "left").fillna(0, ["minus"])
-    value = {"diff": F.col("plus") - F.col("minus"), "ratio": F.col("a") / F.col("plus"), "norm": (F.col("plus") - F.col("minus")) / F.col("a")}[kind]
-    return out.select("image_id", "node_id", value.cast("double").alias("mser"))
+
+    def run(f: Forest) -> dict:
+        hit = f.first_far(_heights(f) if relative else f["level"].astype(np.int64), eps)
+        area = f["area"].astype(np.int64)
+        plus, minus = area[hit], np.zeros(len(f), np.int64)
+        np.maximum.at(minus, hit, area)
+        value = {"diff": lambda: plus - minus, "ratio": lambda: area / plus, "norm": lambda: (plus - minus) / area}[kind]()
+        return {"node_id": f.id, "mser": value.astype(float)}
+
+    return by_tree(_bare(nodes, "level", "area"), run, "image_id long, node_id long, mser double")
 
 
 def alpha_tree(px: DataFrame, nb: str = "c4") -> DataFrame:

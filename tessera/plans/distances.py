@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import distance as dis
 from tessera.operators import trees
+from tessera.operators.rasterwise import stored
 from tessera.plans.fixtures import MAX_TREE, P16, mask16, px16, px64, rgb
 from tessera.plans.registry import query
 
@@ -60,25 +61,23 @@ def _(s, d):
 
 
 def _pairs(s, d):
-    pmap = trees.node_map(px16(s, d))
+    pmap = stored(trees.node_map(px16(s, d)))
     nodes = trees.nodes_of(pmap)
     m = pmap.select("image_id", "y", "x", "node_id")
     pairs = m.select("image_id", "y", "x", F.col("node_id").alias("a")).join(m.select("image_id", F.col("x").alias("y"), F.col("y").alias("x"), F.col("node_id").alias("b")), ["image_id", "y", "x"]).select("image_id", "a", "b").distinct()
-    return nodes, trees.closure(nodes), pairs
+    return nodes, pairs
 
 
 @query("dahu_pairs", "image_id a b d", f"""{MAX_TREE}, pr AS (SELECT DISTINCT p.image_id, p.node_id AS a, q.node_id AS b FROM pmap p JOIN pmap q ON p.image_id = q.image_id AND p.y = q.x AND p.x = q.y),
 l AS (SELECT pr.image_id, a, b, max(u.anc_level) AS low FROM pr JOIN up u ON u.image_id = pr.image_id AND u.node_id = a JOIN up w ON w.image_id = pr.image_id AND w.node_id = b AND w.anc = u.anc GROUP BY ALL)
 SELECT l.image_id, a, b, greatest(na.level, nb.level) - low AS d FROM l JOIN nodes na ON na.image_id = l.image_id AND na.node_id = a JOIN nodes nb ON nb.image_id = l.image_id AND nb.node_id = b""")
 def _(s, d):
-    nodes, up, pairs = _pairs(s, d)
-    return dis.dahu_pairs(nodes, up, pairs)
+    return dis.dahu_pairs(*_pairs(s, d))
 
 
 @query("k_max_distance", "image_id node_id d", f"{MAX_TREE}, j AS (SELECT n.image_id, n.node_id AS anc, n.level - q.level AS jump FROM nodes n JOIN nodes q ON q.image_id = n.image_id AND q.node_id = n.parent_id), r AS (SELECT u.image_id, u.node_id, jump, row_number() OVER (PARTITION BY u.image_id, u.node_id ORDER BY jump DESC) AS k FROM up u JOIN j USING (image_id, anc)) SELECT image_id, node_id, sum(jump) AS d FROM r WHERE k <= 3 GROUP BY ALL")
 def _(s, d):
-    nodes, up, _ = _pairs(s, d)
-    return dis.k_max_distance(nodes, up, 3)
+    return dis.k_max_distance(trees.nodes_of(trees.node_map(px16(s, d))), 3)
 
 
 @query("tree_marker_segmentation", "image_id y x label cost:d")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessera.operators import connected, distance, trees
 from tessera.operators import neighbours as nb
 from tessera.operators import shapespace as sh
+from tessera.operators.rasterwise import stored
 from tessera.plans.fixtures import MAX_TREE, P16, mask16, px16, rgb
 from tessera.plans.registry import query
 
@@ -14,9 +15,8 @@ S = "image_id y x v"
 
 
 def _tree(s, d, kind: str = "max"):
-    pmap = trees.node_map(px16(s, d), kind)
-    nodes = trees.nodes_of(pmap)
-    return pmap, nodes, trees.closure(nodes)
+    pmap = stored(trees.node_map(px16(s, d), kind))
+    return pmap, trees.nodes_of(pmap)
 
 
 def _rgb16(s, d):
@@ -33,21 +33,21 @@ gm AS (SELECT n.image_id, n.node_id, n.area, coalesce(avg(1 - h.e / 7.0::DOUBLE)
 
 @query("gradient_magnitude_attribute", "image_id node_id a:d", f"{MAX_TREE}, {_CONTOUR} SELECT image_id, node_id, a FROM gm")
 def _(s, d):
-    pmap, _, up = _tree(s, d)
-    return sh.gradient_magnitude(px16(s, d), pmap, up, 8)
+    pmap, nodes = _tree(s, d)
+    return sh.gradient_magnitude(px16(s, d), pmap, nodes, 8)
 
 
 @query("pattern_spectrum", "image_id bin n area", f"{MAX_TREE}, {_CONTOUR} SELECT image_id, floor(a / 0.1::DOUBLE + 1e-9) AS bin, count(*) AS n, sum(area) AS area FROM gm GROUP BY ALL")
 def _(s, d):
-    pmap, nodes, up = _tree(s, d)
-    return sh.pattern_spectrum(nodes, sh.gradient_magnitude(px16(s, d), pmap, up, 8))
+    pmap, nodes = _tree(s, d)
+    return sh.pattern_spectrum(nodes, sh.gradient_magnitude(px16(s, d), pmap, nodes, 8))
 
 
 @query("collapse_zero_nodes", S, f"{MAX_TREE}, alive AS (SELECT n.image_id, n.node_id FROM nodes n JOIN (SELECT u.image_id, u.anc AS node_id, max(p.v) - min(p.v) AS s FROM pmap p JOIN up u USING (image_id, node_id) GROUP BY ALL) a USING (image_id, node_id) WHERE s <> 0 OR parent_id IS NULL) SELECT p.image_id, p.y, p.x, max(u.anc_level) AS v FROM pmap p JOIN up u USING (image_id, node_id) SEMI JOIN alive ON alive.image_id = u.image_id AND alive.node_id = u.anc GROUP BY p.image_id, p.y, p.x")
 def _(s, d):
-    pmap, nodes, up = _tree(s, d)
-    span = trees.rolled_up(pmap, px16(s, d), {"lo": (F.min("v"), "min"), "hi": (F.max("v"), "max")}, up)
-    return trees.reconstruct(pmap, trees.filter_direct(nodes.join(span, ["image_id", "node_id"]), F.col("hi") != F.col("lo"), up))
+    pmap, nodes = _tree(s, d)
+    span = trees.rolled_up(pmap, px16(s, d), {"lo": (F.min("v"), "min"), "hi": (F.max("v"), "max")}, nodes)
+    return trees.reconstruct(pmap, trees.filter_direct(nodes.join(span, ["image_id", "node_id"]), F.col("hi") != F.col("lo")))
 
 
 _MEAN = "SELECT p.image_id, p.y, p.x, floor(m) AS v FROM pmap p JOIN m USING (image_id, node_id)"
@@ -55,14 +55,14 @@ _MEAN = "SELECT p.image_id, p.y, p.x, floor(m) AS v FROM pmap p JOIN m USING (im
 
 @query("mean_on_components", S, f"{MAX_TREE}, m AS (SELECT u.image_id, u.anc AS node_id, sum(p.v) // count(*) AS m FROM pmap p JOIN up u USING (image_id, node_id) GROUP BY ALL) {_MEAN}")
 def _(s, d):
-    pmap, _, up = _tree(s, d)
-    return sh.mean_on_nodes(px16(s, d), pmap, up)
+    pmap, nodes = _tree(s, d)
+    return sh.mean_on_nodes(px16(s, d), pmap, nodes)
 
 
 @query("mean_on_own_pixels", S, f"{MAX_TREE}, m AS (SELECT image_id, node_id, sum(v) // count(*) AS m FROM pmap GROUP BY ALL) {_MEAN}")
 def _(s, d):
-    pmap, _, up = _tree(s, d)
-    return sh.mean_on_nodes(px16(s, d), pmap, up, False)
+    pmap, nodes = _tree(s, d)
+    return sh.mean_on_nodes(px16(s, d), pmap, nodes, False)
 
 
 @query("meaningfulness", "image_id node_id internal:d external:d total:d", f"""{MAX_TREE}, pr AS (SELECT p.image_id, p.y, p.x, p.v, p.node_id AS a, q.node_id AS b FROM pmap p JOIN (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)) o(dy, dx) ON true JOIN pmap q ON q.image_id = p.image_id AND q.y = p.y + dy AND q.x = p.x + dx WHERE p.node_id <> q.node_id),
@@ -70,14 +70,14 @@ s AS (SELECT DISTINCT pr.image_id, pr.y, pr.x, pr.v, u.anc AS node_id, true AS i
 UNION SELECT DISTINCT pr.image_id, pr.y, pr.x, pr.v, u.anc, false FROM pr JOIN up u ON u.image_id = pr.image_id AND u.node_id = pr.b ANTI JOIN up w ON w.image_id = pr.image_id AND w.node_id = pr.a AND w.anc = u.anc)
 SELECT image_id, node_id, coalesce(var_pop(v) FILTER (inside), 0) AS internal, coalesce(var_pop(v) FILTER (NOT inside), 0) AS external, var_pop(v) AS total FROM s GROUP BY ALL""")
 def _(s, d):
-    pmap, _, up = _tree(s, d)
-    return sh.regional_energy(px16(s, d), pmap, up)
+    pmap, nodes = _tree(s, d)
+    return sh.regional_energy(px16(s, d), pmap, nodes)
 
 
 @query("label_coverage", "image_id label jaccard:d", f"{MAX_TREE}, l AS (SELECT image_id, y, x, y // 8 AS label FROM px), i AS (SELECT l.image_id, label, u.anc AS node_id, any_value(u.anc_area) AS area, count(*) AS n FROM l JOIN pmap p USING (image_id, y, x) JOIN up u USING (image_id, node_id) GROUP BY ALL), z AS (SELECT image_id, label, count(*) AS size FROM l GROUP BY ALL) SELECT image_id, label, max(n / (size + area - n)) AS jaccard FROM i JOIN z USING (image_id, label) GROUP BY ALL".replace("any_value(u.anc_area)", "max(u.anc_area)"))
 def _(s, d):
-    pmap, _, up = _tree(s, d)
-    return sh.coverage(px16(s, d).select("image_id", "y", "x", F.floor(F.col("y") / 8).alias("label")), pmap, up)
+    pmap, nodes = _tree(s, d)
+    return sh.coverage(px16(s, d).select("image_id", "y", "x", F.floor(F.col("y") / 8).alias("label")), pmap, nodes)
 
 
 @query("shape_energy", "image_id node_id energy:d")
