@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import kernels as k
@@ -46,14 +48,16 @@ def exact_mbd(px: DataFrame, sides: str | None = "tblr") -> DataFrame:
     return _map(px, lambda g, s: k.exact_mbd(g["v"], s), sides)
 
 
-def colour(px: DataFrame, f, sides: str | None = "tblr") -> DataFrame:
-    """A grey distance on each of r, g, b, summed up: px(r, g, b)."""
+def colour(px: DataFrame, sides: str | None = "tblr", how: str = "waterflow") -> DataFrame:
+    """Barrier distance of px(r, g, b) along one path for all three channels: their ranges dr, dg, db on the path whose
+    summed range d is least, by ``waterflow`` or raster ``scan``."""
+    f = {"waterflow": k.joint_waterflow, "scan": k.joint_raster_scan}[how]
 
     def run(g: Grid):
-        s = _seeds(g, sides)
-        return g.pixels(d=sum(f(g[c], s) for c in "rgb"))
+        r, gr, b = f([g[c] for c in "rgb"], _seeds(g, sides))
+        return g.pixels(dr=r, dg=gr, db=b, d=r + gr + b)
 
-    return per_image(px, run, f"{SITE}, d int", ["r", "g", "b"] + ([] if sides else ["seed"]))
+    return per_image(px, run, f"{SITE}, dr int, dg int, db int, d int", ["r", "g", "b"] + ([] if sides else ["seed"]))
 
 
 def mst(px: DataFrame, nb: str = "c4") -> DataFrame:
@@ -98,14 +102,83 @@ def interval_dahu(px: DataFrame, sides: str | None = "tblr") -> DataFrame:
 def dahu_pairs(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """Dahu distance of pairs of nodes (image_id, a, b): the range of levels along the tree path through their least
     common ancestor. Pairs as in ``trees.lca``."""
+    return path_ranges(nodes, pairs, ["level"]).withColumnRenamed("d_level", "d")
+
+
+def path_ranges(nodes: DataFrame, pairs: DataFrame, values: list[str]) -> DataFrame:
+    """The range d_<value> of each whole-numbered column of ``nodes`` along the tree path between a and b; with the
+    channels of ``node_colours``, the colour form of the Dahu distance. Pairs as in ``trees.lca``."""
 
     def run(f: Forest, rows: pa.Table) -> dict:
         a, b, top = trees._pairs(f, rows)
-        level = f["level"].astype(np.int64)
-        (la, ha), (lb, hb) = (f.span(x, f.depth[x] - f.depth[top], level) for x in (a, b))
-        return {"a": f.id[a], "b": f.id[b], "d": np.maximum(ha, hb) - np.minimum(la, lb)}
+        out = {"a": f.id[a], "b": f.id[b]}
+        for c in values:
+            v = f[c].astype(np.int64)
+            (la, ha), (lb, hb) = (f.span(x, f.depth[x] - f.depth[top], v) for x in (a, b))
+            out[f"d_{c}"] = np.maximum(ha, hb) - np.minimum(la, lb)
+        return out
+
+    schema = ", ".join(["image_id long, a long, b long", *[f"d_{c} int" for c in values]])
+    return with_tree(nodes.select("image_id", "node_id", "parent_id", *values), pairs.select("image_id", "a", "b"), run, schema)
+
 
-    return with_tree(nodes.select("image_id", "node_id", "parent_id", "level"), pairs.select("image_id", "a", "b"), run, "image_id long, a long, b long, d int")
+def node_colours(pmap: DataFrame, px: DataFrame, channels: list[str] = ["r", "g", "b"]) -> DataFrame:
+    """Nodes of ``pmap`` with the median colour of their own pixels in lexicographic order (the upper one of two)."""
+    own = pmap.select(*K, "node_id").join(px, K).groupBy("image_id", "node_id", *channels).agg(F.count("*").alias("n"))
+    w = Window.partitionBy("image_id", "node_id")
+    ranked = own.withColumns({"_to": F.sum("n").over(w.orderBy(*channels)), "_all": F.sum("n").over(w)})
+    middle = ranked.where((F.col("_to") > F.floor(F.col("_all") / 2)) & (F.col("_to") - F.col("n") <= F.floor(F.col("_all") / 2)))
+    return trees.nodes_of(pmap).join(middle.select("image_id", "node_id", *channels), ["image_id", "node_id"])
+
+
+def dahu_ranges(nodes: DataFrame, seeds: list[str], values: list[str]) -> DataFrame:
+    """Dahu distance of all nodes to several sets of seeds at once: ``nodes`` has a boolean column for each set and
+    whole-numbered ``values``. A pass up and one down carry the values' ranges, that of the least sum first (ties: the first
+    child listed): columns <set>_<value>, -1 in trees without a seed."""
+
+    def run(f: Forest) -> dict:
+        v = np.stack([f[c].astype(np.int64) for c in values], 1)
+        out = {"node_id": f.id}
+        for s in seeds:
+            fixed = f[s].astype(bool)
+            low, top, known = v.copy(), v.copy(), fixed.copy()
+
+            def offer(to: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+                a, b = np.minimum(a, v[to]), np.maximum(b, v[to])
+                cost = (b - a).sum(1)
+                by = np.lexsort((np.arange(len(to)), cost, to))
+                by = by[np.r_[True, to[by][1:] != to[by][:-1]]] if len(by) else by
+                by = by[~known[to[by]] | (cost[by] < (top[to[by]] - low[to[by]]).sum(1))]
+                low[to[by]], top[to[by]], known[to[by]] = a[by], b[by], True
+
+            for n, u in f.rise():
+                go = known[n] & ~fixed[u]
+                offer(u[go], low[n[go]], top[n[go]])
+            for n, u in f.down():
+                go = known[u] & ~fixed[n]
+                offer(n[go], low[u[go]], top[u[go]])
+            for k_, c in enumerate(values):
+                out[f"{s}_{c}"] = np.where(known, top[:, k_] - low[:, k_], -1)
+        return out
+
+    schema = ", ".join(["image_id long, node_id long", *[f"{s}_{c} int" for s in seeds for c in values]])
+    return by_tree(nodes.select("image_id", "node_id", "parent_id", *seeds, *values), run, schema)
+
+
+def touching(pmap: DataFrame, sides: dict[str, str]) -> DataFrame:
+    """(image_id, node_id) and a boolean for each name of ``sides``, which is no column of the nodes: has the node an own
+    pixel on one of these sides (of t, b, l, r) of its image?"""
+    box = pmap.groupBy("image_id").agg(F.min("y").alias("_t"), F.max("y").alias("_b"), F.min("x").alias("_l"), F.max("x").alias("_r"))
+    on = {c: F.col(a) == F.col(f"_{c}") for c, a in (("t", "y"), ("b", "y"), ("l", "x"), ("r", "x"))}
+    p = pmap.select(*K, "node_id").join(box, "image_id")
+    any_ = lambda names: reduce(lambda x, y: x | y, [on[c] for c in names])
+    return p.groupBy("image_id", "node_id").agg(*[F.bool_or(any_(c)).alias(n) for n, c in sides.items()])
+
+
+def dahu_by_sides(pmap: DataFrame, nodes: DataFrame, sides: dict[str, str], values: list[str]) -> DataFrame:
+    """Dahu distance of every pixel to the named sets of sides: ``nodes`` with ``values``, columns <name>_<value>."""
+    got = dahu_ranges(nodes.join(touching(pmap, sides), ["image_id", "node_id"]), list(sides), values)
+    return pmap.select(*K, "node_id").join(got, ["image_id", "node_id"]).drop("node_id")
 
 
 def k_max_distance(nodes: DataFrame, k_most: int = 200) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessera.operators import distance as dis
 from tessera.operators import trees
 from tessera.operators.rasterwise import stored
-from tessera.plans.fixtures import MAX_TREE, P16, mask16, px16, px64, rgb
+from tessera.plans.fixtures import MAX_TREE, P16, ZONES, mask16, px16, px64, rgb
 from tessera.plans.registry import query
 
 D = "image_id y x d"
@@ -23,16 +23,26 @@ def _(s, d):
     return dis.waterflow_mbd(px64(s, d))
 
 
-@query("mbd_exact", D)
+#: For each lower bound, the least upper bound of a path above it from the border.
+_EXACT = f"""WITH RECURSIVE px AS MATERIALIZED ({P16}), mm(image_id, low, y, x, top) USING KEY (image_id, low, y, x) AS (
+SELECT image_id, low, y, x, CASE WHEN y IN (0, h) OR x IN (0, 15) THEN v ELSE 99 END FROM px JOIN (SELECT image_id, max(y) AS h FROM px GROUP BY ALL) USING (image_id) JOIN (SELECT unnest(range(0, 8)) AS low) ON v >= low UNION
+SELECT n.image_id, n.low, n.y, n.x, min(greatest(f.top, q.v)) AS top FROM mm f, (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)) o(dy, dx), px q, recurring.mm n WHERE f.top < 99 AND q.image_id = f.image_id AND q.y = f.y + dy AND q.x = f.x + dx
+AND n.image_id = q.image_id AND n.low = f.low AND n.y = q.y AND n.x = q.x AND greatest(f.top, q.v) < n.top GROUP BY ALL) SELECT image_id, y, x, min(top - low) AS d FROM mm WHERE top < 99 GROUP BY ALL"""
+
+
+@query("mbd_exact", D, _EXACT)
 def _(s, d):
     return dis.exact_mbd(px16(s, d))
 
 
-@query("mbd_colour", D)
+@query("mbd_colour", "image_id y x dr dg db d")
 def _(s, d):
-    from tessera.operators import kernels
+    return dis.colour(rgb(s, d))
 
-    return dis.colour(rgb(s, d), kernels.waterflow_mbd)
+
+@query("mbd_colour_raster_scan", "image_id y x dr dg db d")
+def _(s, d):
+    return dis.colour(rgb(s, d), how="scan")
 
 
 @query("mbd_four_borders", "image_id y x t b l r")
@@ -50,7 +60,7 @@ def _(s, d):
     return dis.mst_mbd(px16(s, d))
 
 
-@query("spanning_tree_weight", "image_id n total")
+@query("spanning_tree_weight", "image_id n total", f"{ZONES}, c AS (SELECT image_id, lev, count(*) - 1 AS n, count(DISTINCT r) AS c FROM cc GROUP BY ALL) SELECT image_id, any_value(n) AS n, sum(c - 1) AS total FROM c GROUP BY ALL")
 def _(s, d):
     return dis.mst(px16(s, d)).groupBy("image_id").agg(F.count("*").alias("n"), F.sum("w").alias("total"))
 

@@ -62,3 +62,12 @@ up AS MATERIALIZED (SELECT *, dense_rank() OVER (PARTITION BY image_id, node_id
   FROM pmap p JOIN c USING (image_id, y, x) JOIN nodes0 n USING (image_id, lev, r))),
 nodes AS MATERIALIZED (SELECT image_id, node_id, any_value(level) AS level, any_value(area) AS area, max(dist) AS depth, max(anc) FILTER (dist = 1) AS parent_id FROM up GROUP BY ALL)
 """
+
+
+#: Zones of px16 linked by steps of at most ``lev``: cc(image_id, lev, y, x, r), r the smallest flat index.
+ZONES = f"""WITH RECURSIVE px AS MATERIALIZED ({P16}), {off(((-1, 0), (0, -1), (0, 1), (1, 0)))},
+e AS MATERIALIZED (SELECT p.image_id, p.y, p.x, q.y AS qy, q.x AS qx, abs(p.v - q.v) AS w FROM px p, off o, px q WHERE q.image_id = p.image_id AND q.y = p.y + o.dy AND q.x = p.x + o.dx),
+cc(image_id, lev, y, x, r) USING KEY (image_id, lev, y, x) AS (
+  SELECT image_id, lev, y, x, (y * 16 + x)::BIGINT FROM px, (SELECT unnest(range(0, 8)) AS lev) UNION
+  SELECT n.image_id, n.lev, n.y, n.x, min(f.r) AS r FROM cc f, e, recurring.cc n
+  WHERE e.image_id = f.image_id AND e.y = f.y AND e.x = f.x AND e.w <= f.lev AND n.image_id = f.image_id AND n.lev = f.lev AND n.y = e.qy AND n.x = e.qx AND f.r < n.r GROUP BY ALL)"""

@@ -173,10 +173,36 @@ def _(s, d):
 
 @query("seeded_segmentation_colour", S)
 def _(s, d):
-    from tessera.operators import kernels
+    p = _rgb16(s, d)
+    return distance.nearest_seed(distance.colour(p, "l"), distance.colour(p, "r"))
+
 
+def _colour_tree(s, d):
     p = _rgb16(s, d)
-    return distance.nearest_seed(distance.colour(p, kernels.waterflow_mbd, "l"), distance.colour(p, kernels.waterflow_mbd, "r"))
+    pmap = stored(sh.multivariate_tree(p))
+    return pmap, distance.node_colours(pmap, p)
+
+
+@query("dahu_colour_map", "image_id y x dr dg db d")
+def _(s, d):
+    """Dahu distance to the border on the multivariate tree of shapes; d: the sum of integer thirds."""
+    got = distance.dahu_by_sides(*_colour_tree(s, d), {"rim": "tblr"}, ["r", "g", "b"])
+    return got.toDF("image_id", "y", "x", "dr", "dg", "db").withColumn("d", distance.path_cost("dr", "dg", "db", "thirds"))
+
+
+@query("dahu_four_borders", "image_id y x t b l r")
+def _(s, d):
+    """The same to each side by itself, from one tree."""
+    got = distance.dahu_by_sides(*_colour_tree(s, d), {f"on_{c}": c for c in "tblr"}, ["r", "g", "b"])
+    return got.select("image_id", "y", "x", *[distance.path_cost(f"on_{c}_r", f"on_{c}_g", f"on_{c}_b", "thirds").alias(c) for c in "tblr"])
+
+
+@query("dahu_colour_pairs", "image_id a b d_r d_g d_b")
+def _(s, d):
+    pmap, nodes = _colour_tree(s, d)
+    m = pmap.select("image_id", "y", "x", "node_id")
+    pairs = m.withColumnRenamed("node_id", "a").join(m.select("image_id", "y", (6 - F.col("x")).alias("x"), F.col("node_id").alias("b")), ["image_id", "y", "x"])
+    return distance.path_ranges(nodes, pairs, ["r", "g", "b"])
 
 
 @query("marker_reconstruction", S)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import trees
 from tessera.operators.rasterwise import stored
-from tessera.plans.fixtures import MAX_TREE, P16, cc, px16
+from tessera.plans.fixtures import MAX_TREE, P16, ZONES, cc, px16
 from tessera.plans.registry import query
 from tessera.sources import pnm
 
@@ -196,13 +196,14 @@ def _(s, d):
     return moved.groupBy("image_id", F.col("k").alias("area")).agg(F.sum((F.col("v") - F.col("before")) * (F.col("v") - F.col("before")) * F.col("c")).alias("n"))
 
 
-@query("alpha_tree_nodes", "image_id n top")
+@query("alpha_tree_nodes", "image_id n top", f"""{ZONES}, m AS (SELECT c.image_id, c.lev, c.r, count(DISTINCT coalesce(b.r, c.y * 16 + c.x)) AS parts, count(*) AS size FROM cc c LEFT JOIN cc b ON b.image_id = c.image_id AND b.lev = c.lev - 1 AND b.y = c.y AND b.x = c.x GROUP BY ALL)
+SELECT image_id, max(size) + count(*) FILTER (parts > 1) AS n, max(lev) FILTER (parts > 1) AS top FROM m GROUP BY ALL""")
 def _(s, d):
     t = trees.alpha_tree(px16(s, d))
     return t.groupBy("image_id").agg(F.count("*").alias("n"), F.max("alpha").alias("top"))
 
 
-@query("alpha_zones", "image_id y x label")
+@query("alpha_zones", "image_id y x label", f"{ZONES} SELECT image_id, y, x, dense_rank() OVER (PARTITION BY image_id ORDER BY r) AS label FROM cc WHERE lev = 1")
 def _(s, d):
     return trees.alpha_zones(px16(s, d), 1)
 

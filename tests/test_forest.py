@@ -86,6 +86,19 @@ def test_paths_and_stability(tree):
     assert {(r.image_id, r.node_id): r.depth for r in trees.depths(nodes).collect()} == {k: len(u) - 1 for k, u in ups.items()}
 
 
+def test_dahu_ranges(tree):
+    """With one seed, the ranges are those of the path to it; trees without a seed have -1."""
+    nodes, by, ups = tree
+    seed = {i: min(a for j, a in by if j == i) for i in range(3)}
+    marked = nodes.withColumn("one", F.col("node_id").isin(list(seed.values())) & F.expr(" or ".join(f"(image_id = {i} and node_id = {a})" for i, a in seed.items()))).withColumn("r", F.col("level")).withColumn("g", F.col("area").cast("int"))
+    got = {(r.image_id, r.node_id): (r.one_r, r.one_g) for r in distance.dahu_ranges(marked, ["one"], ["r", "g"]).collect()}
+    for (i, a), d in got.items():
+        u, w = ups[i, a], ups[i, seed[i]]
+        top = next((x for x in u if x in w), None)
+        on = [] if top is None else u[: u.index(top) + 1] + w[: w.index(top) + 1]
+        assert d == tuple(max(v) - min(v) if v else -1 for v in ([by[i, x][c] for x in on] for c in (3, 4)))
+
+
 def test_roll_up_with_nulls(tree):
     nodes, by, ups = tree
     s = nodes.sparkSession
