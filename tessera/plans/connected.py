@@ -64,17 +64,29 @@ def _marked(s, d):
     return px16(s, d).withColumn("marker", F.least(F.lit(7), F.col("v") + (F.col("y") * 5 + F.col("x") * 3) % 4))
 
 
-@query("closing_by_reconstruction", S, f"""WITH RECURSIVE px AS MATERIALIZED (SELECT *, least(7, v + (y * 5 + x * 3) % 4) AS marker FROM ({P16})),
-{cc("SELECT image_id, lev, y, x FROM px JOIN (SELECT unnest(range(0, 8)) AS lev) ON v <= lev", C4)},
+_MARKED = f"SELECT *, least(7, v + (y * 5 + x * 3) % 4) AS marker FROM ({P16})"
+
+
+def recon(src: str, offsets=C4) -> str:
+    """SQL of the closing by reconstruction of (image_id, y, x, v, marker), 8 levels."""
+    return f"""WITH RECURSIVE px AS MATERIALIZED ({src}),
+{cc("SELECT image_id, lev, y, x FROM px JOIN (SELECT unnest(range(0, 8)) AS lev) ON v <= lev", offsets)},
 c AS MATERIALIZED (SELECT * FROM cc),
 comp AS (SELECT image_id, lev, r, max(v) AS top, min(marker) AS low FROM c JOIN px USING (image_id, y, x) GROUP BY ALL),
 hi AS (SELECT image_id, max(v) AS root FROM px GROUP BY 1)
-SELECT c.image_id, c.y, c.x, coalesce(min(c.lev) FILTER (comp.top = c.lev AND comp.low <= c.lev), any_value(root)) AS v FROM c JOIN comp USING (image_id, lev, r) JOIN hi USING (image_id) GROUP BY c.image_id, c.y, c.x""")
+SELECT c.image_id, c.y, c.x, coalesce(min(c.lev) FILTER (comp.top = c.lev AND comp.low <= c.lev), any_value(root)) AS v FROM c JOIN comp USING (image_id, lev, r) JOIN hi USING (image_id) GROUP BY c.image_id, c.y, c.x"""
+
+
+@query("closing_by_reconstruction", S, recon(_MARKED))
 def _(s, d):
     return con.closing_by_reconstruction(_marked(s, d))
 
 
-@query("leveling", S)
+_UP = recon(_MARKED.replace("SELECT *, least", "SELECT image_id, y, x, v, greatest(v, least").replace(" AS marker", ") AS marker"))
+_DOWN = f"SELECT u.image_id, u.y, u.x, 7 - u.v AS v, 7 - least(u.v, m.marker) AS marker FROM ({_UP}) u JOIN ({_MARKED}) m USING (image_id, y, x)"
+
+
+@query("leveling", S, f"SELECT image_id, y, x, 7 - v AS v FROM ({recon(_DOWN, C8)})")
 def _(s, d):
     return con.leveling(_marked(s, d))
 
@@ -100,7 +112,15 @@ def _(s, d):
     return con.flat_zones(px16(s, d)).groupBy("image_id").agg(F.max("label").alias("n"))
 
 
-@query("extinction", S)
+#: A minimum is a component whose pixels all have its level; it goes at the first level where its component holds a lower
+#: one, of two equals the first in scan order.
+@query("extinction", S, f"""WITH RECURSIVE px AS MATERIALIZED ({P16}), {cc("SELECT image_id, lev, y, x FROM px JOIN (SELECT unnest(range(0, 8)) AS lev) ON v <= lev", C4)},
+c AS MATERIALIZED (SELECT cc.image_id, lev, y, x, r, v FROM cc JOIN px USING (image_id, y, x)),
+comp AS (SELECT image_id, lev, r, min(v * 256 + y * 16 + x) AS best, min(v) AS low FROM c GROUP BY ALL),
+m AS (SELECT image_id, lev, r, lev * 256 + r AS me FROM comp WHERE low = lev),
+span AS (SELECT image_id, max(v) - min(v) AS span FROM px GROUP BY 1),
+dyn AS (SELECT m.image_id, m.lev, m.r, coalesce(min(c.lev) FILTER (k.best < m.me) - m.lev, any_value(span)) AS d FROM m JOIN span USING (image_id) JOIN c ON c.image_id = m.image_id AND c.y * 16 + c.x = m.r AND c.lev >= m.lev JOIN comp k ON k.image_id = c.image_id AND k.lev = c.lev AND k.r = c.r GROUP BY m.image_id, m.lev, m.r)
+SELECT px.image_id, px.y, px.x, coalesce(d, 0) AS v FROM px JOIN c ON c.image_id = px.image_id AND c.y = px.y AND c.x = px.x AND c.lev = px.v LEFT JOIN dyn ON dyn.image_id = c.image_id AND dyn.lev = c.lev AND dyn.r = c.r""")
 def _(s, d):
     return con.extinction(px16(s, d))
 

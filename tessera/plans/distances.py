@@ -103,7 +103,10 @@ def _(s, d):
     return dis.image_dijkstra(px16(s, d).withColumn("seed", (F.col("y") == 0) & (F.col("x") == 0)))
 
 
-@query("a_star_steps", "image_id n")
+@query("a_star_steps", "image_id n", f"""WITH RECURSIVE px AS MATERIALIZED (SELECT image_id, y, x FROM ({P16}) WHERE v >= 4 OR y = x), dj(image_id, y, x, d, n) USING KEY (image_id, y, x) AS (
+SELECT image_id, y, x, CASE WHEN y = 0 AND x = 0 THEN 0 ELSE 1e9 END::DOUBLE, 1::BIGINT FROM px UNION
+SELECT q.image_id, q.y, q.x, min(f.d + sqrt(dy * dy + dx * dx)) AS d, min_by(f.n + 1, f.d + sqrt(dy * dy + dx * dx)) AS n FROM dj f, (VALUES (0, 1), (0, -1), (1, 0), (-1, 0), (1, 1), (1, -1), (-1, 1), (-1, -1)) o(dy, dx), recurring.dj q
+WHERE f.d < 1e9 AND q.image_id = f.image_id AND q.y = f.y + dy AND q.x = f.x + dx AND f.d + sqrt(dy * dy + dx * dx) < q.d - 1e-9 GROUP BY ALL) SELECT image_id, n FROM dj WHERE y = 15 AND x = 15 AND d < 1e9""")
 def _(s, d):
     return dis.a_star(mask16(s, d).withColumn("v", F.col("v") | (F.col("y") == F.col("x"))), (0, 0), (15, 15)).groupBy("image_id").agg(F.count("*").alias("n"))
 

@@ -270,7 +270,13 @@ def _(s, d):
     return p.select("image_id", "y", "x", *[c.alias(n) for n, c in zip("lab", val.rgb_to_lab("r", "g", "b"))])
 
 
-@query("rgb_to_lab_gamma", "image_id y x l:d a:d b:d")
+_LIN = ", ".join(f"CASE WHEN {c} / 255.0::DOUBLE <= 0.04045::DOUBLE THEN {c} / 255.0::DOUBLE / 12.92::DOUBLE ELSE pow(({c} / 255.0::DOUBLE + 0.055::DOUBLE) / 1.055::DOUBLE, 2.4::DOUBLE) END AS {c}" for c in "rgb")
+_TG = lambda row, w: f"(({row[0]}::DOUBLE * r + {row[1]}::DOUBLE * g + {row[2]}::DOUBLE * b) / {w}::DOUBLE)"
+_FG = lambda t: f"(CASE WHEN {t} > 0.008856::DOUBLE THEN cbrt({t}) ELSE ({t} * 903.3::DOUBLE + 16) / 116 END)"
+_XG, _YG, _ZG = (_FG(_TG(row, w)) for row, w in zip(val.XYZ_LINEAR, val.WHITE_LINEAR))
+
+
+@query("rgb_to_lab_gamma", "image_id y x l:d a:d b:d", f"SELECT image_id, y, x, 116 * {_YG} - 16 AS l, 500 * ({_XG} - {_YG}) AS a, 200 * ({_YG} - {_ZG}) AS b FROM (SELECT image_id, y, x, {_LIN} FROM ({RGB}))")
 def _(s, d):
     return rgb(s, d).select("image_id", "y", "x", *[c.alias(n) for n, c in zip("lab", val.rgb_to_lab_gamma("r", "g", "b"))])
 

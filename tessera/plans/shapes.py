@@ -8,7 +8,8 @@ from tessera.operators import connected, distance, trees
 from tessera.operators import neighbours as nb
 from tessera.operators import shapespace as sh
 from tessera.operators.rasterwise import stored
-from tessera.plans.fixtures import MAX_TREE, P16, mask16, px16, rgb
+from tessera.plans.connected import recon
+from tessera.plans.fixtures import MAX_TREE, P16, ZONES, mask16, px16, rgb
 from tessera.plans.registry import query
 
 S = "image_id y x v"
@@ -165,7 +166,8 @@ def _(s, d):
     return lab.where("label > 0").groupBy("image_id", "label").agg(F.count("*").alias("n"))
 
 
-@query("alpha_tree_cut", "image_id y x label")
+@query("alpha_tree_cut", "image_id y x label", f"""{ZONES}, c AS MATERIALIZED (SELECT cc.*, v FROM cc JOIN px USING (image_id, y, x)), z AS (SELECT image_id, lev, r FROM c GROUP BY ALL HAVING max(v) - min(v) < 3),
+b AS (SELECT image_id, y, x, max_by(r, lev) AS r FROM c SEMI JOIN z USING (image_id, lev, r) GROUP BY ALL) SELECT image_id, y, x, dense_rank() OVER (PARTITION BY image_id ORDER BY r) AS label FROM b""")
 def _(s, d):
     """Cut of the α-tree into the largest zones whose values lie less than 3 apart."""
     return trees.alpha_cut(px16(s, d), 3)
@@ -205,7 +207,7 @@ def _(s, d):
     return distance.path_ranges(nodes, pairs, ["r", "g", "b"])
 
 
-@query("marker_reconstruction", S)
+@query("marker_reconstruction", S, recon(f"SELECT *, CASE WHEN v >= 4 THEN 7 ELSE v END AS marker FROM ({P16})"))
 def _(s, d):
     """Closing by reconstruction from a mask's complement: fills what the mask doesn't reach."""
     p = px16(s, d).join(mask16(s, d).withColumnRenamed("v", "m"), ["image_id", "y", "x"])

@@ -48,7 +48,10 @@ for _name, _se in (("rectangle_3x3", RECT), ("ball_2", nb.ball(2))):
     query(f"closing_{_name}", S, _morph(P64, ("max", _se), ("min", _se)) + " SELECT * FROM s2")(lambda s, d, se=_se: nb.closing(px64(s, d), se))
 
 
-@query("dilate_rectangle_15x15", S)
+_WIDE = "max(v) OVER (PARTITION BY image_id, {} ORDER BY {} RANGE BETWEEN 7 PRECEDING AND 7 FOLLOWING) AS v"
+
+
+@query("dilate_rectangle_15x15", S, f"SELECT image_id, y, x, {_WIDE.format('x', 'y')} FROM (SELECT image_id, y, x, {_WIDE.format('y', 'x')} FROM ({P64}))")
 def _(s, d):
     return nb.dilate(px64(s, d), nb.rectangle(15, 15))
 
