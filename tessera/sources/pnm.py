@@ -1,4 +1,4 @@
-"""Netpbm images (P1 to P6) and NIfTI-1 volumes from binary files, and writers; tree tables on disk; DOT text.
+"""Netpbm images (P1 to P6), PNG and NIfTI-1 volumes from binary files, and writers; tree tables on disk; DOT text.
 
 Files are read by Spark's binaryFile source and parsed in Arrow batches, one row a file: a folder of images is one scan.
 """
@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources.png import encode_png, parse_png
+
 SCHEMA = "path string, y int, x int, c int, v double"
 
 
@@ -21,7 +23,7 @@ class RasterError(ValueError):
 
 
 def parse_pnm(data: bytes) -> np.ndarray:
-    """(height, width, channels) of one image; 1 in a bitmap is true."""
+    """(height, width, channels) of one image, booleans (1 is true), uint8 or uint16."""
     at, tokens = 2, []
     kind = data[:2]
     if kind not in (b"P1", b"P2", b"P3", b"P4", b"P5", b"P6"):
@@ -50,7 +52,7 @@ def parse_pnm(data: bytes) -> np.ndarray:
         values = np.frombuffer(data, np.uint8 if tokens[2] < 256 else ">u2", offset=at + 1, count=h * w * ch).astype(np.int64)
     if len(values) < h * w * ch:
         raise RasterError("image ends early")
-    return values[: h * w * ch].reshape(h, w, ch)
+    return values[: h * w * ch].astype(bool if need == 2 else np.uint8 if tokens[2] < 256 else np.uint16).reshape(h, w, ch)
 
 
 #: NIfTI-1 type codes.
@@ -74,7 +76,7 @@ def parse_nifti(data: bytes) -> np.ndarray:
     return np.frombuffer(data, order + NIFTI[code], count=w * h, offset=offset).reshape(h, w, 1)
 
 
-PARSERS = {"pnm": parse_pnm, "pbm": parse_pnm, "pgm": parse_pnm, "ppm": parse_pnm, "nii": parse_nifti, "gz": parse_nifti}
+PARSERS = {"pnm": parse_pnm, "pbm": parse_pnm, "pgm": parse_pnm, "ppm": parse_pnm, "nii": parse_nifti, "gz": parse_nifti, "png": parse_png}
 
 
 def register(extension: str, parser) -> None:
@@ -82,8 +84,15 @@ def register(extension: str, parser) -> None:
     PARSERS[extension] = parser
 
 
-def imread(spark: SparkSession, path: str, permissive: bool = False) -> DataFrame:
-    """Pixels (path, y, x, c, v) of one file, a folder or a glob. Files that can't be read raise, or are left out if ``permissive``."""
+def value_type(f: np.ndarray) -> str:
+    """Name of an image's value type: bool, uint8, uint16, rgb8, rgb16, rgba8, ... or numpy's name of another one."""
+    name = {1: "", 2: "greya", 3: "rgb", 4: "rgba"}.get(f.shape[2], f"{f.shape[2]}x")
+    return f"{name}{f.dtype.name.removeprefix('uint')}" if name else f.dtype.name
+
+
+def imread(spark: SparkSession, path: str, permissive: bool = False, expect: str | None = None) -> DataFrame:
+    """Pixels (path, y, x, c, v) of one file, a folder or a glob. Files that can't be read, or whose ``value_type`` isn't
+    exactly ``expect`` where it is given, raise, or are left out if ``permissive``."""
     parsers = dict(PARSERS)
 
     def run(batches):
@@ -91,6 +100,8 @@ def imread(spark: SparkSession, path: str, permissive: bool = False) -> DataFram
             for name, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 try:
                     f = parsers.get(name.rsplit(".", 1)[-1].lower(), parse_pnm)(data)
+                    if expect and value_type(f) != expect:
+                        raise RasterError(f"{name}: values are {value_type(f)}, not {expect}")
                 except (RasterError, ValueError, struct.error):
                     if permissive:
                         continue
@@ -101,20 +112,62 @@ def imread(spark: SparkSession, path: str, permissive: bool = False) -> DataFram
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, SCHEMA)
 
 
-def encode_pnm(px: DataFrame, top: int = 255) -> DataFrame:
-    """(image_id, content): each image, of columns v or r, g, b, as a binary PGM or PPM. An image's rows meet in one task."""
+def _pnm(f: np.ndarray, top: int) -> bytes:
+    return f"P{5 if f.shape[2] == 1 else 6}\n{f.shape[1]} {f.shape[0]}\n{top}\n".encode() + f.astype(np.uint8 if top < 256 else ">u2").tobytes()
+
+
+#: Writers by extension: (array of uint8 or uint16, largest value) to bytes.
+WRITERS = {"pgm": _pnm, "ppm": _pnm, "pnm": _pnm, "png": lambda f, top: encode_png(f)}
+
+
+def register_writer(extension: str, writer) -> None:
+    """Adds a writer for files of an extension: (array (height, width, channels), largest value) to bytes."""
+    WRITERS[extension] = writer
+
+
+def encode(px: DataFrame, kind: str = "pnm", top: int = 255) -> DataFrame:
+    """(image_id, content): each image, of columns v or r, g, b, kept within 0..top, in a format of ``WRITERS``; 8 bits a
+    value, or 16 if ``top`` is above 255. An image's rows meet in one task; sites without a pixel are 0."""
     names = ["v"] if "v" in px.columns else ["r", "g", "b"]
+    writer = WRITERS[kind]
     from tessera.operators.rasterwise import Grid
 
     def run(table):
         g = Grid(table, names)
-        f = np.stack([g[c] for c in names], 2).clip(0, top).astype(np.uint8 if top < 256 else ">u2")
-        head = f"P{5 if len(names) == 1 else 6}\n{f.shape[1]} {f.shape[0]}\n{top}\n".encode()
-        return pa.table({"image_id": pa.array([g.image], pa.int64()), "content": pa.array([head + f.tobytes()], pa.binary())})
+        f = np.stack([g[c] for c in names], 2).clip(0, top).astype(np.uint8 if top < 256 else np.uint16)
+        return pa.table({"image_id": pa.array([g.image], pa.int64()), "content": pa.array([writer(f, top)], pa.binary())})
 
     return px.select("image_id", "y", "x", *names).groupBy("image_id").applyInArrow(run, "image_id long, content binary")
 
 
+def encode_pnm(px: DataFrame, top: int = 255) -> DataFrame:
+    """(image_id, content): each image as a binary PGM or PPM."""
+    return encode(px, "pnm", top)
+
+
+def save_files(px: DataFrame, folder: str, kind: str, top: int = 255) -> None:
+    """One file <image_id>.<kind> for each image in a folder that executors share (a path or a URI that pyarrow knows).
+    A file gets its name when it is whole, so tasks that are run again replace it by the same."""
+
+    def run(batches):
+        import os
+        import uuid
+
+        from pyarrow import fs
+
+        files, base = fs.FileSystem.from_uri(folder if "://" in folder else os.path.abspath(folder))
+        files.create_dir(base)
+        for b in batches:
+            for i, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                part = f"{base}/_{uuid.uuid4().hex}"
+                with files.open_output_stream(part) as out:
+                    out.write(data)
+                files.move(part, f"{base}/{i}.{kind}")
+            yield b.select(["image_id"])
+
+    encode(px, kind, top).mapInArrow(run, "image_id long").write.format("noop").mode("overwrite").save()
+
+
 def imsave(px: DataFrame, path: str) -> None:
     """Parquet for a path ending in .parquet; else one PGM or PPM line-delimited table of (image_id, base64) rows, read back by ``load_saved``."""
     if path.endswith(".parquet"):
