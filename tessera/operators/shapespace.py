@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tessera.operators import kernels as k
 from tessera.operators import neighbours as nb
 from tessera.operators import trees
-from tessera.operators.forest import Forest, with_tree
+from tessera.operators.forest import Forest, by_tree, with_tree
 from tessera.operators.rasterwise import Grid, per_image
 from tessera.sources.rasters import K
 
@@ -89,6 +89,27 @@ def coverage(labels: DataFrame, pmap: DataFrame, nodes: DataFrame) -> DataFrame:
     return with_tree(nodes.select("image_id", "node_id", "parent_id", "area"), rows, run, "image_id long, label long, jaccard double")
 
 
+def thicken(pmap: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Keeps level lines that don't touch, from the leaves up: (image_id, node_id, depth), the depth of the nearest kept
+    node upwards. A line reaches up to the least depth on its inside and the pixels beside it by four neighbours; a node
+    goes if it is deeper than what a kept line inside it, below no other kept one, reaches. The root stays."""
+    p = pmap.select(*K, "node_id", "depth")
+    beside = nb.scatter(p, nb.C4, ["depth"]).groupBy(*K).agg(F.min("depth").alias("_near"))
+    reach = p.join(beside, K, "left").groupBy("image_id", "node_id").agg(F.min(F.least("depth", "_near")).alias("reach"))
+
+    def run(f: Forest) -> dict:
+        line = f.roll(f["reach"].astype(np.int64), np.minimum)
+        bound = np.full(len(f), np.iinfo(np.int64).max)
+        for n in reversed(f.layers):
+            kept, u = f.depth[n] <= bound[n], f.up[n]
+            up = u >= 0
+            np.minimum.at(bound, u[up], np.where(kept, line[n], bound[n])[up])
+        at = f.nearest(f.depth <= bound)
+        return {"node_id": f.id, "depth": f.depth[at]}
+
+    return by_tree(nodes.select("image_id", "node_id", "parent_id").join(reach, ["image_id", "node_id"]), run, "image_id long, node_id long, depth int")
+
+
 class Tree:
     """A component tree by image for kernels: ids parents first, parent, level, own pixels, area, depth, children."""
 

@@ -81,6 +81,13 @@ def _(s, d):
     return sh.coverage(px16(s, d).select("image_id", "y", "x", F.floor(F.col("y") / 8).alias("label")), pmap, nodes)
 
 
+@query("thicken", S)
+def _(s, d):
+    """Pixels take the depth of the nearest kept level line of the tree of shapes."""
+    pmap, nodes = _tree(s, d, "tos")
+    return trees.reconstruct(pmap, sh.thicken(pmap, nodes), "depth")
+
+
 @query("shape_energy", "image_id node_id energy:d")
 def _(s, d):
     return sh.shape_energy(px16(s, d))

@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import distance, rasterwise, trees
+from tessera.operators import distance, rasterwise, shapespace, trees
 from tessera.operators.forest import Forest
 
 NODES = "image_id long, node_id long, parent_id long, level int, area long, depth int"
@@ -124,6 +124,39 @@ def test_preorder(tree):
         assert below == list(range(n[k], n[k] + len(below)))
 
 
+def test_thicken(spark):
+    """Against recursion over explicit sets of pixels; a ramp keeps every line, steep steps lose those that touch."""
+    rng = np.random.default_rng(8)
+    img = [rng.integers(0, 6, (7, 7)).tolist() for _ in range(4)] + [[[9, 9, 9, 9, 9], [9, 3, 1, 3, 9], [9, 9, 9, 9, 9]]]
+    px = spark.createDataFrame([(i, y, x, v) for i, f in enumerate(img) for y, r in enumerate(f) for x, v in enumerate(r)], "image_id long, y int, x int, v int")
+    pmap = rasterwise.stored(trees.node_map(px, "tos"))
+    nodes = trees.nodes_of(pmap)
+    got = {(r.image_id, r.node_id): r.depth for r in shapespace.thicken(pmap, nodes).collect()}
+    for i in range(len(img)):
+        at = {(r.y, r.x): r.node_id for r in pmap.where(F.col("image_id") == i).collect()}
+        up = {r.node_id: r.parent_id for r in nodes.where(F.col("image_id") == i).collect()}
+        chain = {a: [a] for a in up}
+        for c in chain.values():
+            while up[c[-1]] is not None:
+                c.append(up[c[-1]])
+        depth = {a: len(c) - 1 for a, c in chain.items()}
+
+        def bound(a):  # what the kept lines inside reach; and whether a itself is kept
+            got = [line(b) if kept(b) else bound(b) for b in up if up[b] == a]
+            return min(got, default=99)
+
+        def kept(a):
+            return depth[a] <= bound(a)
+
+        def line(a):
+            inside = [p for p, n in at.items() if a in chain[n]]
+            return min(depth[at[q]] for y, x in inside for q in ((y, x), (y + 1, x), (y - 1, x), (y, x + 1), (y, x - 1)) if q in at)
+
+        want = {(i, a): depth[next(b for b in c if kept(b))] for a, c in chain.items()}
+        assert {k: d for k, d in got.items() if k[0] == i} == want
+    assert sorted(d for k, d in got.items() if k[0] == 4) == [0, 0, 2]
+
+
 def test_empty_and_single(spark):
     none = spark.createDataFrame([], NODES)
     pairs = spark.createDataFrame([(0, 1, 1)], "image_id long, a long, b long")
