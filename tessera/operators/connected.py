@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import kernels as k
-from tessera.operators.rasterwise import Grid, checkpoints, per_image
+from tessera.operators.rasterwise import Grid, checkpoints, per_image, stored
 from tessera.sources.rasters import K
 
 SITE = "image_id long, y int, x int"
@@ -42,8 +42,9 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> Da
 
 
 def blobs_tiled(px: DataFrame, nb: str = "c4", tile: int = 512) -> DataFrame:
-    """``blobs`` for images of any size: a task holds one tile."""
-    wide = 1 << 20
+    """``blobs`` for images of any size: a task holds one tile, or the components that start in one row of tiles. Only
+    parts that meet a seam take part in joining; labels are numbered by rows of tiles, each from the count of those before."""
+    wide = 1 << 32
     t = px.withColumns({"_ty": F.floor(F.col("y") / tile), "_tx": F.floor(F.col("x") / tile)})
     keyed = t.select(F.struct("image_id", "_ty", "_tx").alias("_tile"), "image_id", "y", "x", "v")
 
@@ -61,7 +62,7 @@ def blobs_tiled(px: DataFrame, nb: str = "c4", tile: int = 512) -> DataFrame:
         out = g.pixels(part=name[lab].reshape(g.mask.shape), on=(lab > 0).reshape(g.mask.shape))
         return pa.table({c: pa.array(a) for c, a in out.items()}).select(["image_id", "y", "x", "part", "on"]).cast(pa.schema([("image_id", pa.int64()), ("y", pa.int32()), ("x", pa.int32()), ("part", pa.int64()), ("on", pa.bool_())]))
 
-    local = keyed.groupBy("_tile").applyInArrow(run, f"{SITE}, part long, on boolean")
+    local = stored(keyed.groupBy("_tile").applyInArrow(run, f"{SITE}, part long, on boolean"))
     rim = local.where("on").where((F.col("y") % tile).isin(0, tile - 1) | (F.col("x") % tile).isin(0, tile - 1))
     off = [o for o in k.NEIGHBOURS[nb] if o > (0, 0)]
     steps = F.array(*[F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx")) for a, b in off])
@@ -70,8 +71,14 @@ def blobs_tiled(px: DataFrame, nb: str = "c4", tile: int = 512) -> DataFrame:
     node = lambda c: F.struct("image_id", c)
     seams = rim.join(far, K).where("part <> q").select(node("part").alias("a"), node(F.col("q").alias("part")).alias("b")).distinct()
     parts = local.where("on").select(node("part").alias("node")).distinct()
-    roots = connected_components(seams, parts)
-    order = roots.select("root").distinct().withColumn("label", F.row_number().over(Window.partitionBy("root.image_id").orderBy("root.part")).cast("long"))
+    met = connected_components(seams)
+    roots = parts.join(met, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    block = F.expr(f"root.part div {wide * tile}").alias("block")
+    heads = roots.select("root").distinct().select("root", F.col("root.image_id").alias("image_id"), block)
+    w = Window.partitionBy("image_id").orderBy("block")
+    before = heads.groupBy("image_id", "block").agg(F.count("*").alias("n")).select("image_id", "block", (F.sum("n").over(w) - F.col("n")).alias("before"))
+    nth = F.row_number().over(Window.partitionBy("image_id", "block").orderBy("root.part"))
+    order = heads.withColumn("nth", nth).join(before, ["image_id", "block"]).select("root", (F.col("before") + F.col("nth")).alias("label"))
     named = roots.join(order, "root").select(F.col("node.image_id").alias("image_id"), F.col("node.part").alias("part"), "label")
     return local.join(named.withColumn("on", F.lit(True)), ["image_id", "part", "on"], "left").select(*K, F.coalesce("label", F.lit(0)).alias("label"))
 

@@ -110,6 +110,14 @@ def test_blobs_tiled_spiral(spark):
         assert sorted(connected.blobs_tiled(px, nb, 3).collect()) == sorted(connected.blobs(px, nb).collect())
 
 
+def test_blobs_tiled_of_wide_images(spark):
+    """Names of parts don't clash in columns beyond 2^20, and labels go on from one row of tiles to the next."""
+    far = 1 << 20
+    px = spark.createDataFrame([(0, y, x, True) for y, x in ((0, far + 5), (1, 5), (4, 5), (4, 7), (5, 7), (6, 7))], "image_id long, y int, x int, v boolean")
+    got = {(r.y, r.x): r.label for r in connected.blobs_tiled(px, "c4", 3).collect()}
+    assert got == {(0, far + 5): 1, (1, 5): 2, (4, 5): 3, (4, 7): 4, (5, 7): 4, (6, 7): 4}
+
+
 def test_closure_of_a_ramp(spark):
     px = rasters.from_rows(spark, [list(range(40))])
     nodes = trees.nodes_of(trees.node_map(px))
