@@ -464,12 +464,16 @@ def hierarchical_segmentation(px: DataFrame) -> DataFrame:
 
 
 def path_region(px: DataFrame, start: tuple[int, int], goal: tuple[int, int]) -> DataFrame:
-    """Region of interest between two pixels: the nodes on the tree path between them, dilated by 3x3, less the path itself."""
+    """Region of interest between two pixels: the nodes on the tree path between them, dilated by 3x3, less the path itself.
+    An image that lacks one of the pixels has no path: its region is empty."""
 
     def run(g: Grid):
+        h, w = g.mask.shape
+        ends = [(p[0] - g.y0, p[1] - g.x0) for p in (start, goal)]
+        if not all(0 <= y < h and 0 <= x < w and g.mask[y, x] for y, x in ends):
+            return g.pixels(v=np.zeros((h, w), bool))
         t = Tree(g)
-        w = g.mask.shape[1]
-        a, b = (int(t.node[(p[0] - g.y0) * w + p[1] - g.x0]) for p in (start, goal))
+        a, b = (int(t.node[y * w + x]) for y, x in ends)
         top, on = t.lca(a, b), {t.lca(a, b)}
         for n in (a, b):
             while n != top:

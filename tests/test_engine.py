@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from tessera.functions import accumulators as acc
 from tessera.functions import values as val
-from tessera.operators import connected, khalimsky, neighbours, trees, views
+from tessera.operators import connected, khalimsky, neighbours, shapespace, trees, views
 from tessera.plans import registry
 from tessera.sources import pnm, rasters
 
@@ -168,3 +168,18 @@ def test_streamed_frames(spark, tmp_path):
     q.awaitTermination()
     got = spark.read.parquet(f"{tmp_path}/out").drop("batch")
     assert views.equal(got, neighbours.gradient(px, neighbours.rectangle(3, 3))).where("not equal").count() == 0
+
+
+def test_path_region_of_images_without_its_ends(spark):
+    """An image without one of the two pixels (too low, too narrow, starting below, a hole) has an empty region and keeps all its sites."""
+    whole = [[0, 0, 0, 5], [0, 0, 0, 5], [0, 0, 0, 0], [0, 0, 0, 0]]
+    px = rasters.from_rows(spark, whole, 0)
+    for i, rows in enumerate(([[0, 5, 0, 5]], [[0, 5], [0, 0], [0, 5], [0, 0], [0, 0]])):
+        px = px.unionByName(rasters.from_rows(spark, rows, 1 + i))
+    px = px.unionByName(rasters.from_rows(spark, whole, 3).withColumn("y", F.col("y") + 1)).unionByName(rasters.from_rows(spark, whole, 4).where("y <> 1 or x <> 3"))
+    got = shapespace.path_region(px, (0, 0), (1, 3))
+    assert grid(got.where("image_id = 0")) == [[False] * 4] * 4  # the path has all pixels
+    assert sorted(got.select(*rasters.K).collect()) == sorted(px.select(*rasters.K).collect())
+    assert got.where("v and image_id in (1, 2, 3, 4)").isEmpty()
+    inner = rasters.from_rows(spark, [[5, 5, 0], [0, 0, 0], [0, 0, 7]])
+    assert grid(shapespace.path_region(inner, (0, 0), (0, 1))) == [[False, False, True], [True, True, True], [False, False, False]]
