@@ -183,3 +183,13 @@ def test_path_region_of_images_without_its_ends(spark):
     assert got.where("v and image_id in (1, 2, 3, 4)").isEmpty()
     inner = rasters.from_rows(spark, [[5, 5, 0], [0, 0, 0], [0, 0, 7]])
     assert grid(shapespace.path_region(inner, (0, 0), (0, 1))) == [[False, False, True], [True, True, True], [False, False, False]]
+
+
+def test_superpixel_distance_of_low_images(spark):
+    """An image lower than half the step, beside a whole one: every superpixel has a row, all lie on the border."""
+    low = rasters.from_rows(spark, [[0] * 8 + [200] * 8] * 2, 1)
+    px = rasters.from_rows(spark, [[(3 * y + 5 * x) % 8 for x in range(16)] for y in range(16)], 0).unionByName(low)
+    got = shapespace.superpixel_distance(px, 4)
+    labels = connected.superpixels(px, 4).select("image_id", "label").distinct()
+    assert sorted(got.select("image_id", "label").collect()) == sorted(labels.collect())
+    assert got.where("image_id = 1 and d <> 0").isEmpty() and got.where("image_id = 1").count() > 1
