@@ -193,3 +193,16 @@ def test_superpixel_distance_of_low_images(spark):
     labels = connected.superpixels(px, 4).select("image_id", "label").distinct()
     assert sorted(got.select("image_id", "label").collect()) == sorted(labels.collect())
     assert got.where("image_id = 1 and d <> 0").isEmpty() and got.where("image_id = 1").count() > 1
+
+
+def test_superpixel_graph_of_low_images(spark):
+    """An image lower than half the step, beside a whole one: edges of its superpixels as counted from its labels."""
+    low = rasters.from_rows(spark, [[0] * 8 + [200] * 8] * 2, 1)
+    px = rasters.from_rows(spark, [[(3 * y + 5 * x) % 8 for x in range(16)] for y in range(16)], 0).unionByName(low)
+    labels = connected.superpixels(px, 4)
+    got = shapespace.superpixel_graph(labels, px)
+    lab, v = grid(labels.where("image_id = 1")), grid(low)
+    mean = {i: sum(b for r, s in zip(lab, v) for a, b in zip(r, s) if a == i) // sum(r.count(i) for r in lab) for i in {a for r in lab for a in r}}
+    near = {(min(p, q), max(p, q)) for y in range(2) for x in range(15) for p, q in ((lab[y][x], lab[y][x + 1]), (lab[y][x], lab[1 - y][x + 1]), (lab[0][x], lab[1][x]), (lab[0][x + 1], lab[1][x + 1])) if p != q}
+    assert {(r.a, r.b, r.w) for r in got.where("image_id = 1").collect()} == {(a, b, abs(mean[a] - mean[b])) for a, b in near}
+    assert near and not got.where("image_id = 0").isEmpty()
