@@ -32,8 +32,8 @@ BLOCK = 512
 COSINE = 0.95
 #: Codes of a table entry that are compared side by side with others' at most; larger entries by themselves.
 SMALL = 64
-#: Codes of a table entry that one task takes; larger entries are dealt out by a hash of code and table, so that two codes
-#: that meet in several tables are together in some.
+#: Codes of a table entry that one task takes, about; larger entries are dealt into blocks of half as many, and each two
+#: blocks meet, so that all codes of an entry do.
 SPLIT = 65_536
 
 
@@ -134,7 +134,7 @@ def span(codes: np.ndarray, radius: int) -> list[tuple[int, int]]:
 
 def _meet(radius: int):
     """mapInArrow function over rows (key, code) sorted by key, codes different within a key: edges (a, b) of a forest of
-    the codes that share a key within the radius. Memory: the codes of one key, which ``cluster`` bounds."""
+    the codes that share a key within the radius. Memory: the codes of one key, which ``meetings`` bounds."""
 
     def run(batches):
         up: dict[int, int] = {}  # over all that this task has met: an edge is emitted if it joins what wasn't joined
@@ -188,6 +188,23 @@ def _meet(radius: int):
     return run
 
 
+def meetings(codes: DataFrame, bits: int, ws: Workspace) -> DataFrame:
+    """Edges (a, b) of different ``codes`` (code) that join all those that meet in a table within RADIUS."""
+    keys = F.array(*[F.xxhash64(F.lit(k), F.col("code").bitwiseAND(F.lit(m if m < 1 << 63 else m - (1 << 64)))) for k, m in enumerate(masks(bits, TABLES, PLACES))])
+    rows = codes.select(F.explode(keys).alias("key"), "code")
+    large = ws.put(rows.groupBy("key").agg(F.count("*").alias("many")).where(F.col("many") > SPLIT), "large")
+    if not large.isEmpty():
+        # a code meets its own block along with any other, of which there are two at least
+        blocks = F.ceil(F.col("many") * 2 / SPLIT)
+        others = F.array_except(F.sequence(F.lit(0).cast("long"), blocks - 1), F.array("block"))
+        rows = rows.join(large, "key", "left").withColumn("block", F.pmod(F.xxhash64("code"), blocks))
+        rows = rows.withColumn("other", F.explode(F.when(F.col("many").isNull(), F.array(F.lit(None).cast("long"))).otherwise(others)))
+        pair = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))
+        rows = rows.withColumn("key", F.when(F.col("many").isNull(), F.col("key")).otherwise(pair))
+    parts = int(codes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.select("key", "code").repartition(parts, "key").sortWithinPartitions("key", "code").mapInArrow(_meet(RADIUS), "a long, b long").distinct()
+
+
 def forest(near: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     """A spanning forest of the links between rows ``a`` and columns ``b`` (row numbers; the same for a block against
     itself), breadth first: each row is looked at once, the links themselves are never listed."""
@@ -268,16 +285,7 @@ def cluster(vectors: DataFrame, ws: Workspace, cosine: float = COSINE, fit_rows:
     coded = ws.put(coded.select("vec_id", "x.print", "x.code"), "coded")
     classes = ws.put(coded.groupBy("print").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("n"), F.first("code").alias("code")), "classes")
     codes = classes.select("code").distinct()
-    # what meets in the tables
-    keys = F.array(*[F.struct(F.lit(k).alias("k"), F.xxhash64(F.lit(k), F.col("code").bitwiseAND(F.lit(m if m < 1 << 63 else m - (1 << 64)))).alias("key")) for k, m in enumerate(masks(bits, TABLES, PLACES))])
-    rows = codes.select(F.inline(keys), "code").select("k", "key", "code")
-    large = ws.put(rows.groupBy("key").agg(F.count("*").alias("many")).where(F.col("many") > SPLIT), "large")
-    if not large.isEmpty():
-        salt = F.pmod(F.xxhash64("k", "code"), F.ceil(F.col("many") / SPLIT))
-        rows = rows.join(large, "key", "left").withColumn("key", F.when(F.col("many").isNull(), F.col("key")).otherwise(F.xxhash64("key", salt)))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    edges = rows.select("key", "code").repartition(parts, "key").sortWithinPartitions("key", "code").mapInArrow(_meet(RADIUS), "a long, b long").distinct()
-    groups = components(ws, edges, "codes")
+    groups = components(ws, meetings(codes, bits, ws), "codes")
     # groups of candidates, by blocks
     named = classes.join(groups.withColumnRenamed("node", "code"), "code", "left").select("vec_id", "print", "n", F.coalesce("root", "code").alias("g"))
     size = named.groupBy("g").agg(F.count("*").alias("count")).where("count > 1")

@@ -193,6 +193,37 @@ def test_embeddings_recall_on_planted_links(spark):
     assert len({r.component_id for r in got.values()}) >= 3990
 
 
+@pytest.mark.parametrize("split", [50, 299])
+def test_embeddings_of_large_table_entries(spark, split, monkeypatch):
+    """Codes that meet in one large entry only are candidates, whatever number of blocks the entry is dealt into."""
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 1 << 16, (300, 4))
+    base[:, 0] = 5  # one entry has all
+    near = base ^ (1 << rng.integers(0, 5, (300, 4))) ^ (1 << rng.integers(5, 10, (300, 4)))  # two bits of three substrings
+    near[:, 0] = 5 ^ (1 << rng.integers(0, 16, 300))  # and one of the first, which one table leaves out
+    codes = [[sum(int(v) << (16 * k) for k, v in enumerate(r)) for r in x] for x in (base, near)]
+    signed = [(c - (1 << 64) if c >> 63 else c,) for c in sorted({*codes[0], *codes[1]})]
+    monkeypatch.setattr(embed_dedup, "SPLIT", split)
+    edges = embed_dedup.meetings(spark.createDataFrame(signed, "code long"), 64, Workspace(spark, "t")).collect()
+    edges = [(e.a % (1 << 64), e.b % (1 << 64)) for e in edges]
+    assert all((a ^ b).bit_count() <= embed_dedup.RADIUS for a, b in edges)
+    root = brute_components(codes[0] + codes[1], edges)
+    assert all(root[a] == root[b] for a, b in zip(*codes))
+
+
+def test_embeddings_of_large_table_entries_link_as_small_ones(spark, monkeypatch):
+    """A table with one entry, as a whole and dealt out."""
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(400, 64))
+    x[200:] = x[:200] / np.linalg.norm(x[:200], axis=1, keepdims=True) + rng.normal(size=(200, 64)) * 0.03
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(embed_dedup, "masks", lambda bits, tables, places: [0])
+    whole = sorted(embed_dedup.cluster(vectors, Workspace(spark, "t")).collect())
+    assert sum(r.n_links for r in whole) > 200
+    monkeypatch.setattr(embed_dedup, "SPLIT", 100)
+    assert sorted(embed_dedup.cluster(vectors, Workspace(spark, "t")).collect()) == whole
+
+
 def test_embeddings_empty(spark):
     assert embed_dedup.cluster(spark.createDataFrame([], "vec_id long, embedding array<float>"), Workspace(spark, "t")).count() == 0
 
