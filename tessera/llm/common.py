@@ -9,13 +9,12 @@ import tempfile
 import uuid
 import zlib
 from functools import reduce
-from pathlib import Path
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-REPO = str(Path(__file__).resolve().parents[2])
+from tessera.operators.rasterwise import ship
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,13 +26,6 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def ship(spark: SparkSession) -> None:
-    """Lets Python workers import this package where the driver found it by its own path only."""
-    env = spark.sparkContext.environment
-    if REPO not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (REPO, env.get("PYTHONPATH")) if x)
-
-
 _memories: dict = {}
 _owner: list = [None]
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +48,16 @@ class Grid:
         return {"image_id": np.full(n, self.image), **columns}
 
 
+REPO = str(Path(__file__).resolve().parents[2])
+
+
+def ship(spark) -> None:
+    """Lets Python workers import this package where the driver found it by its own path only."""
+    env = spark.sparkContext.environment
+    if REPO not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (REPO, env.get("PYTHONPATH")) if x)
+
+
 def checkpoints(spark) -> None:
     """Sets the folder of checkpoints: the shared one that spark.checkpoint.dir names; an own one only where it is unset."""
     sc = spark.sparkContext
@@ -64,6 +76,7 @@ def stored(df: DataFrame) -> DataFrame:
 def per_image(px: DataFrame, kernel: Callable[[Grid], dict], schema: str, columns: list[str] = ["v"]) -> DataFrame:
     """``kernel`` takes a Grid and returns columns for ``schema``. Rows of an image meet in one task; pixels that
     repeat a site overwrite each other; null values count as 0."""
+    ship(px.sparkSession)
     fields = [f.strip().rsplit(" ", 1) for f in schema.split(",")]
 
     def run(table: pa.Table) -> pa.Table:

@@ -1,6 +1,8 @@
 """Every query against its SQL on the small tables, and operators on odd inputs."""
 
 import os
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -206,3 +208,20 @@ def test_superpixel_graph_of_low_images(spark):
     near = {(min(p, q), max(p, q)) for y in range(2) for x in range(15) for p, q in ((lab[y][x], lab[y][x + 1]), (lab[y][x], lab[1 - y][x + 1]), (lab[0][x], lab[1][x]), (lab[0][x + 1], lab[1][x + 1])) if p != q}
     assert {(r.a, r.b, r.w) for r in got.where("image_id = 1").collect()} == {(a, b, abs(mean[a] - mean[b])) for a, b in near}
     assert near and not got.where("image_id = 0").isEmpty()
+
+
+def test_superpixel_graph_from_another_folder(tmp_path):
+    """Workers import the package though neither the working folder nor PYTHONPATH leads to it."""
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"""import sys
+sys.path.insert(0, {repo!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+from tessera.operators import connected, shapespace
+from tessera.sources import rasters
+px = rasters.from_rows(spark, [[(3 * y + 5 * x) % 8 for x in range(16)] for y in range(16)])
+assert shapespace.superpixel_graph(connected.superpixels(px, 4), px).count()
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH" and not k.startswith(("SPARK_", "PYSPARK_"))}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
