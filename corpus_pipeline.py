@@ -17,6 +17,8 @@ from tessera.llm.common import Workspace, read
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document's language must hold at least this share of its letters.
 LEAST_SHARE = 0.4
+#: Words that a packing worker keeps in each generation: about 300 bytes each, beside executors whose heap earlier stages grew.
+WORDS = 100_000
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +52,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the documents into sequences: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    return packing.place(packing.cut(docs), Workspace(spark, "stage4"))
+    return packing.place(packing.cut(docs, most=WORDS), Workspace(spark, "stage4"))
 
 
 STAGES = [

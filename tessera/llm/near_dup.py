@@ -19,12 +19,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Forest, Sieve, Workspace, components, read, remembers, ship, split_mix, take_over
+from tessera.llm.common import Forest, Sieve, Workspace, components, give_back, read, remembers, ship, split_mix, take_over
 
 ROWS_OF = 8
 DEPTH = 2
 BLOCK = 256
 KEPT = 400_000
+#: Rows of a batch whose texts are unpacked at a time.
+ROWS = 1024
 #: Shingles that a comparison holds as a dense matrix at a time.
 COLUMNS = 4096
 
@@ -69,7 +71,7 @@ def signature(s: np.ndarray) -> np.ndarray:
 def _sign(width: int):
     def run(batches):
         take_over("near_dup")
-        for b in batches:
+        for b in (c.slice(k, ROWS) for c in batches for k in range(0, c.num_rows, ROWS)):
             size, print_, keys = [], [], []
             for t in b.column(1).to_pylist():
                 s = shingles(t, width)
@@ -77,6 +79,7 @@ def _sign(width: int):
                 print_.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 keys.append(signature(s).view(np.int64) if len(s) else None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(print_, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "print", "keys"])
+        give_back()
 
     return run
 
@@ -146,6 +149,8 @@ def _sets(width: int):
                 c = b.slice(k, 256)
                 s = [shingles(x, width).tobytes() for x in c.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([c.column(0), pa.array(s, pa.binary())], names=["node", "words"])
+        _words.clear()  # what later stages run beside shouldn't hold these words
+        give_back()
 
     return run
 

@@ -227,9 +227,9 @@ def _search(counts: dict[int, int], size: int, total: int, least: int, best: int
         spare -= n * (size - sum(pattern))
 
 
-def _cut(path: str, size: int, end: int):
+def _cut(path: str, size: int, end: int, most: int = tokens.KEPT):
     def run(batches):
-        enc = tokens.encoder(path)
+        enc = tokens.encoder(path, most)
         for b in batches:
             for c in tokens.slices(b, 1):
                 ids, at = enc.column(c.column(1), end)
@@ -247,10 +247,11 @@ def _cut(path: str, size: int, end: int):
     return run
 
 
-def cut(docs: DataFrame, size: int = SIZE, tokenizer: str = tokens.WORD_BPE, end: int = 1) -> DataFrame:
-    """Pieces (doc_id, piece, start, length, ids_crc32) of each document's ids with the end id; null text counts as empty."""
+def cut(docs: DataFrame, size: int = SIZE, tokenizer: str = tokens.WORD_BPE, end: int = 1, most: int = tokens.KEPT) -> DataFrame:
+    """Pieces (doc_id, piece, start, length, ids_crc32) of each document's ids with the end id; null text counts as empty.
+    ``most``: words that a worker keeps, for memory and time alone."""
     ship(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_cut(tokenizer, size, end), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_cut(tokenizer, size, end, most), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def place(pieces: DataFrame, ws: Workspace, size: int = SIZE) -> DataFrame:

@@ -60,7 +60,7 @@ class Encoder:
     """``encode_special_tokens`` is set: the strings of special tokens in a text are ordinary text, as add_special_tokens=False
     means for what stands around it."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = KEPT):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -69,6 +69,7 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.pattern, self.spaceless = regex.compile(PATTERNS[name]) if name in PATTERNS else None, name == "word_bpe_49k.json"
+        self.most = most
         self.kept: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -88,7 +89,7 @@ class Encoder:
 
     def _fill(self, keys: set[str]) -> None:
         """Works out what is to be kept for new keys."""
-        if len(self.kept) > KEPT:
+        if len(self.kept) > self.most:
             self.kept, self.old = {}, self.kept
         kept, old = self.kept, self.old
         lead = "" if self.spaceless else " "
@@ -169,10 +170,12 @@ _encoders: dict[str, Encoder] = {}
 remembers("tokens", _encoders.clear)
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, most: int = KEPT) -> Encoder:
+    """The worker's encoder; ``most``: chunks and words that it keeps in each generation, which changes its memory, not its ids."""
     take_over("tokens")
     if path not in _encoders:
-        _encoders[path] = Encoder(path)
+        _encoders[path] = Encoder(path, most)
+    _encoders[path].most = most
     return _encoders[path]
 
 
